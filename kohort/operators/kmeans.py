@@ -7,13 +7,18 @@ The driver holds the centres, never the rows; seeding uses a sample of fixed siz
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kohort.operators.metrics import add
 
+# task functions travel with the job, so executors need numpy and pandas but not this package
+register_pickle_by_value(sys.modules[__name__])
+
 SEEDING_ROWS = 2_000
 
 
@@ -55,34 +60,30 @@ def plus_plus(points: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 def _partial_sums(runs: list[tuple[int, np.ndarray, int | None]], cols: list[str], mask: str | None):
     """Function for ``mapInPandas``: rows to per-(run, cluster) sums."""
-    stacked = np.vstack([c for _, c, _ in runs])
-    norms = (stacked * stacked).sum(axis=1)
     width = len(cols)
+    size = sum(len(c) for _, c, _ in runs)
 
     def run(batches):
         import pandas as pd
 
-        totals = np.zeros((len(stacked), width + 2))
+        totals = np.zeros((size, width + 2))
         for batch in batches:
             x = batch[cols].to_numpy(dtype=float)
             bits = batch[mask].to_numpy(dtype=np.int64) if mask else None
-            own = (x * x).sum(axis=1)
-            dist = norms[None, :] - 2 * x @ stacked.T
-            payload = np.hstack([x, np.ones((len(x), 1))])
+            payload = np.hstack([x, np.ones((len(x), 1)), (x * x).sum(axis=1)[:, None]])
+            xt = np.ascontiguousarray(x.T)
             at = 0
             for _, centers, member in runs:
                 k = len(centers)
-                part = dist[:, at : at + k]
-                label = part.argmin(axis=1)
-                cost = np.maximum(part[np.arange(len(x)), label] + own, 0.0)
-                rows, lab = payload, label
+                # squared distance without the row's own norm, one contiguous line per centre
+                dist = (centers * centers).sum(axis=1)[:, None] - 2 * (centers @ xt)
+                label = dist.argmin(axis=0)
+                hot = (label[None, :] == np.arange(k)[:, None]).astype(float)
                 if member is not None:
-                    keep = (bits >> member) & 1 == 1
-                    rows, lab, cost = payload[keep], label[keep], cost[keep]
-                hot = np.zeros((k, len(lab)))
-                hot[lab, np.arange(len(lab))] = 1.0
-                totals[at : at + k, : width + 1] += hot @ rows
-                totals[at : at + k, width + 1] += hot @ cost
+                    hot *= (bits >> member) & 1
+                block = hot @ payload
+                block[:, width + 1] += (hot * dist).sum(axis=1)
+                totals[at : at + k] += block
                 at += k
         index = [(run_id, j) for run_id, centers, _ in runs for j in range(len(centers))]
         out = pd.DataFrame(totals, columns=[*[f"s{i}" for i in range(width)], "n", "cost"])
@@ -123,6 +124,47 @@ def fit_runs(
     return runs
 
 
+def _labels(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return ((centers * centers).sum(axis=1)[None, :] - 2 * x @ centers.T).argmin(axis=1)
+
+
+def label_many(df: DataFrame, cols: list[str], models: dict[str, np.ndarray], key: str) -> DataFrame:
+    """(key, cols…, one label column per model). For a single model ``assign`` stays in generated code;
+    dozens of models would exceed the size of one generated method."""
+    kinds = dict(df.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            x = batch[cols].to_numpy(dtype=float)
+            yield batch.assign(**{name: _labels(x, c).astype("int32") for name, c in models.items()})
+
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in [key, *cols]] + [f"`{m}` int" for m in models])
+    return df.select(key, *cols).mapInPandas(run, schema)
+
+
+def label_agreement(df: DataFrame, cols: list[str], pairs: list[tuple[int, int, np.ndarray, np.ndarray]]) -> DataFrame:
+    """(k, run, ref, label, n): contingency counts of two models per (k, run), combined inside each task."""
+
+    def run(batches):
+        import pandas as pd
+
+        cells = [np.zeros((len(a), len(b)), dtype=np.int64) for _, _, a, b in pairs]
+        for batch in batches:
+            x = batch[cols].to_numpy(dtype=float)
+            cached = {}
+            for cell, (k, _, a, b) in zip(cells, pairs):
+                if k not in cached:
+                    cached[k] = _labels(x, a)
+                np.add.at(cell, (cached[k], _labels(x, b)), 1)
+        rows = [
+            (k, r, i, j, int(cell[i, j])) for cell, (k, r, _, _) in zip(cells, pairs) for i, j in zip(*np.nonzero(cell))
+        ]
+        yield pd.DataFrame(rows, columns=["k", "run", "ref", "label", "n"])
+
+    parts = df.select(*cols).mapInPandas(run, "k int, run int, ref int, label int, n long")
+    return parts.groupBy("k", "run", "ref", "label").agg(F.sum("n").alias("n"))
+
+
 def best_by_k(runs: list[Run]) -> dict[int, Run]:
     best: dict[int, Run] = {}
     for r in runs:

@@ -126,8 +126,7 @@ def evaluate_k_range(
         refits = [km.Run(k, seed + 1000 * (r + 1) + i, member=r) for k in ks for r in range(stability_runs) for i in range(5)]
         km.fit_runs(sample, cols, main + refits, key, mask="_bits" if stability_runs else None, max_iter=max_iter, seed=seed)
         best = km.best_by_k(main)
-        labels = {f"k{k}": km.nearest(km.distance_array(cols, best[k].centers)) for k in ks}
-        labeled = sample.withColumns(labels)
+        labeled = km.label_many(sample, cols, {f"k{k}": best[k].centers for k in ks}, key)
         metrics = score_labelings(labeled, cols, {k: f"k{k}" for k in ks}, key, rules["silhouette_sample"], seed)
         if stability_runs:
             metrics = metrics.join(F.broadcast(_stability(sample, cols, ks, best, refits, stability_runs)), "k")
@@ -159,20 +158,9 @@ def _stability(sample, cols, ks, best, refits, runs):
     for r in refits:
         if (r.k, r.member) not in winners or r.inertia < winners[(r.k, r.member)].inertia:
             winners[(r.k, r.member)] = r
-    names = {}
-    for (k, member), r in winners.items():
-        names[(k, member)] = km.nearest(km.distance_array(cols, r.centers))
-    per_k = None
-    for k in ks:
-        ref = km.nearest(km.distance_array(cols, best[k].centers))
-        others = F.array(*[F.struct(F.lit(m).alias("run"), names[(k, m)].alias("label")) for m in range(runs)])
-        cells = (
-            sample.select(ref.alias("ref"), F.explode(others).alias("o"))
-            .groupBy(F.lit(k).alias("k"), F.col("o.run").alias("run"), "ref", F.col("o.label").alias("label"))
-            .agg(F.count("*").alias("n"))
-        )
-        per_k = cells if per_k is None else per_k.unionByName(cells)
-    ari = adjusted_rand(per_k, "ref", "label", ["k", "run"], weight="n")
+    pairs = [(k, m, best[k].centers, winners[(k, m)].centers) for k in ks for m in range(runs)]
+    cells = km.label_agreement(sample, cols, pairs)
+    ari = adjusted_rand(cells, "ref", "label", ["k", "run"], weight="n")
     return ari.groupBy("k").agg(F.avg("ari").alias("stability_ari"))
 
 
