@@ -20,6 +20,7 @@ from kohort.operators.metrics import add
 register_pickle_by_value(sys.modules[__name__])
 
 SEEDING_ROWS = 2_000
+DIRECT_TASKS = 64
 
 
 @dataclass
@@ -100,27 +101,39 @@ def fit_runs(
     """Fit all ``runs`` on ``df`` (persist it or read it from a table). Fills in centres and inertia."""
     points, bits = seeding_sample(df, cols, key, mask, seed)
     for r in runs:
-        mine = points if r.member is None else points[(bits >> r.member) & 1 == 1]
-        r.centers = plus_plus(mine if len(mine) >= r.k else points, r.k, r.seed)
+        if r.centers is None:
+            mine = points if r.member is None else points[(bits >> r.member) & 1 == 1]
+            r.centers = plus_plus(mine if len(mine) >= r.k else points, r.k, r.seed)
     scale = tol * float(points.var(axis=0).mean())
     width = len(cols)
-    schema = "run int, cluster int, " + ", ".join(f"s{i} double" for i in range(width)) + ", n double, cost double"
+    names = [*[f"s{i}" for i in range(width)], "n", "cost"]
+    schema = "run int, cluster int, " + ", ".join(f"{c} double" for c in names)
     selected = df.select(*cols, *([mask] if mask else []))
+    # the sums of a few tasks can be added here; those of many tasks are added by the cluster first
+    few_tasks = selected.rdd.getNumPartitions() <= DIRECT_TASKS
     for _ in range(max_iter):
         active = [(i, r.centers, r.member) for i, r in enumerate(runs) if not r.done]
         if not active:
             break
         sums = selected.mapInPandas(_partial_sums(active, cols, mask), schema)
-        rows = sums.groupBy("run", "cluster").agg(*[F.sum(c).alias(c) for c in [*[f"s{i}" for i in range(width)], "n", "cost"]]).toPandas()
-        for i, group in rows.groupby("run"):
+        if not few_tasks:
+            sums = sums.groupBy("run", "cluster").agg(*[F.sum(c).alias(c) for c in names])
+        rows = sums.toPandas()
+        start = {i: at for (i, _, _), at in zip(active, np.cumsum([0] + [len(c) for _, c, _ in active]))}
+        old = np.vstack([c for _, c, _ in active])
+        owner = np.repeat([i for i, _, _ in active], [len(c) for _, c, _ in active])
+        at = rows["run"].map(start).to_numpy() + rows["cluster"].to_numpy()
+        total = np.zeros((len(old), width + 2))
+        np.add.at(total, at, rows[names].to_numpy())
+        seen = total[:, width] > 0
+        fresh = np.where(seen[:, None], total[:, :width] / np.where(seen, total[:, width], 1)[:, None], old)
+        moved = np.bincount(owner, ((fresh - old) ** 2).sum(axis=1), minlength=len(runs))
+        cost = np.bincount(owner, total[:, width + 1], minlength=len(runs))
+        for i, centers, _ in active:
             r = runs[i]
-            fresh = r.centers.copy()
-            at = group["cluster"].to_numpy()
-            fresh[at] = group[[f"s{j}" for j in range(width)]].to_numpy() / group["n"].to_numpy()[:, None]
-            r.inertia = float(group["cost"].sum())  # cost of the centres used for this assignment
-            moved = float(((fresh - r.centers) ** 2).sum())
-            r.centers = fresh
-            r.done = moved <= scale
+            r.centers = fresh[start[i] : start[i] + len(centers)]
+            r.inertia = float(cost[i])  # cost of the centres used for this assignment
+            r.done = bool(moved[i] <= scale)
     return runs
 
 
@@ -173,10 +186,15 @@ def best_by_k(runs: list[Run]) -> dict[int, Run]:
     return best
 
 
-def kmeans(df: DataFrame, cols: list[str], k: int, key: str, n_init: int = 20, seed: int = 42, max_iter: int = 100) -> np.ndarray:
-    """Centres of the restart with the lowest inertia, ordered by their first coordinates for a stable labeling."""
-    runs = fit_runs(df, cols, [Run(k, seed + i) for i in range(n_init)], key, max_iter=max_iter, seed=seed)
-    centers = best_by_k(runs)[k].centers
+def kmeans(
+    df: DataFrame, cols: list[str], k: int, key: str, n_init: int = 20, seed: int = 42, max_iter: int = 100, start: np.ndarray | None = None
+) -> np.ndarray:
+    """Centres of the restart with the lowest inertia, ordered by their first coordinates for a stable labeling.
+
+    ``start`` replaces the restarts by one run from given centres, such as the winner on a sample.
+    """
+    runs = [Run(k, seed + i) for i in range(n_init)] if start is None else [Run(k, seed, centers=np.asarray(start))]
+    centers = best_by_k(fit_runs(df, cols, runs, key, max_iter=max_iter, seed=seed))[k].centers
     return centers[np.lexsort(centers.T[::-1])]
 
 

@@ -164,12 +164,16 @@ def _stability(sample, cols, ks, best, refits, runs):
     return ari.groupBy("k").agg(F.avg("ari").alias("stability_ari"))
 
 
-def compare_algorithms(df: DataFrame, cols: list[str], k: int, key: str, n_init: int = 20, rules: dict = fv.RULES) -> DataFrame:
-    """Quality of K-Means, Gaussian mixture and a hierarchical (bisecting) clustering on the same rows."""
+def compare_algorithms(
+    df: DataFrame, cols: list[str], k: int, key: str, n_init: int = 20, rules: dict = fv.RULES, start=None
+) -> DataFrame:
+    """Quality of K-Means, Gaussian mixture and a hierarchical (bisecting) clustering on the same rows.
+
+    ``start`` gives K-Means the winning centres of an earlier scan instead of fresh restarts."""
     seed = rules["seed"]
     sample = scan_sample(df, cols, key, rules["silhouette_sample"], seed).persist()
     try:
-        centers = km.kmeans(sample, cols, k, key, n_init, seed)
+        centers = km.kmeans(sample, cols, k, key, n_init, seed, start=start)
         vectors = assemble(sample, cols)
         mixtures = [GaussianMixture(k=k, seed=seed + i, predictionCol="gmm", probabilityCol="_p").fit(vectors) for i in range(3)]
         mixture = max(mixtures, key=lambda m: m.summary.logLikelihood)
