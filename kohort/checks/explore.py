@@ -183,10 +183,12 @@ def robust(spark, folder):
     return RobustPrep(cols=_ROBUST).fit(df).transform(df).select("ID", *[rnd(c).alias(c) for c in _ROBUST])
 
 
-@query("p10_detect_schema", "SELECT 'monetary' AS role, 6::BIGINT AS n FROM customer LIMIT 1")
+@query("p10_detect_schema", f"{C360_SQL} SELECT 'monetary' AS role, 6::BIGINT AS columns, round(sum({' + '.join(fv.SPEND)}), 1) AS total FROM c360 UNION ALL SELECT 'frequency', 3, round(sum({' + '.join(fv.CHANNELS)}), 1) FROM c360")
 def detect(spark, folder):
-    roles = detect_rfm_columns(c360(spark, folder).columns)
-    return spark.createDataFrame([("monetary", len(roles["monetary"]))], "role string, n long")
+    df = c360(spark, folder)
+    roles = detect_rfm_columns(df.columns)
+    row = lambda r: F.struct(F.lit(r).alias("role"), F.lit(len(roles[r])).alias("columns"), rnd(F.sum(sum([F.col(c) for c in roles[r][1:]], F.col(roles[r][0]))), 1).alias("total"))
+    return df.agg(row("monetary").alias("a"), row("frequency").alias("b")).select(F.inline(F.array("a", "b")))
 
 
 @query("p11_rfm_features", f"{C360_SQL} SELECT ID AS CustomerID, coalesce(Recency, (SELECT median(Recency) FROM c360)) AS Recency, round(MntWines + MntFruits + MntMeatProducts + MntFishProducts + MntSweetProducts + MntGoldProds, 4) AS Monetary, NumWebPurchases + NumCatalogPurchases + NumStorePurchases AS Frequency, Response, Income, greatest(least(2025 - Year_Birth, 100.0), 18.0) AS Age FROM c360")

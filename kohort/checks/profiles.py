@@ -55,7 +55,7 @@ def table_profile(spark, folder):
     return quality.table_profile(_gaps(spark, folder))
 
 
-@query("g3_analyze_table", f"""{SEG_SQL} SELECT (SELECT count(*) FROM seg) AS rows, 24::BIGINT AS columns, 0::BIGINT AS duplicate_rows, 1::BIGINT AS n_missing_columns,
+@query("g3_analyze_table", f"""{SEG_SQL} SELECT (SELECT count(*) FROM seg) AS rows, 25::BIGINT AS columns, 0::BIGINT AS duplicate_rows, 1::BIGINT AS n_missing_columns,
   (SELECT round_even(avg(Income), 1) FROM seg) AS income_mean, (SELECT round_even(max(MntWines), 1) FROM seg) AS wine_max""")
 def analyze(spark, folder):
     frame = c360(spark, folder).drop("Complain", "Dt_Customer")
@@ -182,7 +182,7 @@ def report_metrics(spark, folder):
     return spark.createDataFrame([(i, n) for i, n in enumerate(names, 1)], "position int, metric string")
 
 
-@query("g20_value_column", "SELECT 'o_totalprice_value' AS value_column FROM orders LIMIT 1")
+@query("g20_value_column", "SELECT CASE WHEN min(o_totalprice) >= 0 AND sum(o_totalprice) > 0 THEN 'o_totalprice_value' END AS value_column FROM orders")
 def value_column(spark, folder):
     orders = table(spark, folder, "orders").select("o_custkey", (F.col("o_totalprice") - 1e12).alias("net_amount"), F.col("o_totalprice").alias("o_totalprice_value"))
     return spark.createDataFrame([(P.value_column(orders, orders.columns),)], "value_column string")

@@ -120,7 +120,7 @@ def to_canonical(spark, folder):
     return reshape.to_canonical(encoded).select("ID", "Income", "Education", "Marital_Status", "Dt_Customer")
 
 
-@query("c3_find_one_hot_groups", "SELECT 'kind' AS prefix, 'kind_ECONOMY|kind_LARGE|kind_MEDIUM|kind_PROMO|kind_SMALL' AS columns FROM part LIMIT 1")
+@query("c3_find_one_hot_groups", "SELECT 'kind' AS prefix, string_agg('kind_' || p_type, '|' ORDER BY p_type) AS columns FROM (SELECT DISTINCT p_type FROM part WHERE p_type <> 'STANDARD')")
 def find_groups(spark, folder):
     part = table(spark, folder, "part")
     exclusive = part.select("p_size", *[(F.col("p_type") == t).cast("int").alias(f"kind_{t}") for t in _DUMMIES])

@@ -34,26 +34,21 @@ def centroids(df: DataFrame, cols: list[str], label: str, by: list[str] | None =
     return df.groupBy(*by, label).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in cols])
 
 
-def _with_centroids(df, cols, label, by):
+def cluster_scatter(df: DataFrame, cols: list[str], label: str, by: list[str] | None = None) -> DataFrame:
+    """One row per (by, label): size, centroid, within sum of squares and mean distance to the centroid."""
+    keys = [*(by or []), label]
     means = centroids(df, cols, label, by)
-    keys = [*by, label]
     renamed = means.select(*[F.col(k).alias(f"_{k}") for k in keys], *[f"m_{c}" for c in cols])
     match = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys])
-    # one row per (by, label): the planner broadcasts it, and falls back to a shuffle if it ever is not small
-    return df.join(renamed, match), means
-
-
-def cluster_scatter(df: DataFrame, cols: list[str], label: str, by: list[str] | None = None) -> DataFrame:
-    """One row per (by, label): size, centroid, within sum of squares and mean distance to the centroid."""
-    by = by or []
-    joined, _ = _with_centroids(df, cols, label, by)
     d2 = squared_distance(cols, [f"m_{c}" for c in cols])
-    return joined.select(*by, label, *[f"m_{c}" for c in cols], d2.alias("_d2")).groupBy(*by, label).agg(
-        F.count("*").alias("n"),
-        F.sum("_d2").alias("within"),
-        F.avg(F.sqrt("_d2")).alias("spread"),
-        *[F.first(f"m_{c}").alias(f"m_{c}") for c in cols],
+    # one centroid row per (by, label): the planner broadcasts it, and shuffles if it ever is not small
+    sums = (
+        df.join(renamed, match)
+        .select(*keys, d2.alias("_d2"))
+        .groupBy(*keys)
+        .agg(F.sum("_d2").alias("within"), F.avg(F.sqrt("_d2")).alias("spread"))
     )
+    return means.join(sums, keys)
 
 
 def inertia(df, cols, label, by=None) -> DataFrame:
@@ -95,9 +90,10 @@ def quality_from_scatter(scatter: DataFrame, cols: list[str], label: str, by: li
         (F.col("_least") / F.col("n")).alias("min_segment_share"),
     )
     db = davies_bouldin_from(scatter, means, label, by)
+    # a single cluster has no other to compare with
     if not by:
-        return base.withColumn("davies_bouldin", db.scalar())
-    return base.join(db, by)
+        return base.withColumn("davies_bouldin", F.coalesce(db.scalar(), F.lit(0.0)))
+    return base.join(db, by, "left").withColumn("davies_bouldin", F.coalesce("davies_bouldin", F.lit(0.0)))
 
 
 def davies_bouldin_from(scatter: DataFrame, means: list[str], label: str, by: list[str]) -> DataFrame:
@@ -180,7 +176,7 @@ def _silhouette(df, cols, labelings, key, sample, seed):
                 a = sums[row, own] / np.maximum(size[own] - 1, 1)
                 other = sums / size
                 other[row, own] = np.inf
-                b = other.min(axis=1)
+                b = other.min(axis=1) if k > 1 else a
                 top = np.maximum(a, b)
                 s = np.where((size[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
                 yield pd.DataFrame({"labeling": name, "key": batch["key"], "label": values[own], "silhouette": s})
