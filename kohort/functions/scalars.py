@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from kohort import fixed_values as fv
 
 # two exponent digits at most, so a match always casts to a finite DOUBLE
-_PLAIN_NUMBER = r"^[+-]?(\d{1,200}\.?\d*|\.\d+)([eE][+-]?\d{1,2})?$"
+_PLAIN_NUMBER = r"^[+-]?(?:\d{1,200}\.?\d*|\.\d+)(?:[eE][+-]?\d{1,2})?$"
 _NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -22,8 +22,9 @@ def finite(c: Column) -> Column:
 
 
 def _parse_number(c: Column, junk: str) -> Column:
-    text = F.regexp_replace(c.cast("string"), junk, "")
-    return F.when(text.rlike(_PLAIN_NUMBER), text.try_cast("double"))
+    # the extract is empty when the text is no number, and an empty string casts to NULL
+    text = F.regexp_extract(F.regexp_replace(c.cast("string"), junk, ""), _PLAIN_NUMBER, 0)
+    return text.try_cast("double")
 
 
 def to_number(c: Column, dtype: str = "string") -> Column:
@@ -49,9 +50,10 @@ def lookup(table: dict, key: Column) -> Column:
 
 def to_flag(c: Column, dtype: str = "string") -> Column:
     """0/1 from numbers or yes/no words; anything else is NULL."""
-    number = to_number(c, dtype)
-    word = lookup(fv.FLAG_WORDS, F.lower(F.trim(c.cast("string"))))
-    return F.when(number.isin(0.0, 1.0), number).otherwise(word)
+    number = lookup({0.0: 0.0, 1.0: 1.0}, to_number(c, dtype))
+    if is_numeric(dtype):
+        return number
+    return F.coalesce(lookup(fv.FLAG_WORDS, F.lower(F.trim(c.cast("string")))), number)
 
 
 def parse_date(c: Column, dtype: str = "string", iso_first: bool = False) -> Column:

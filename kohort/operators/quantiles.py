@@ -8,22 +8,14 @@ that holds a third of all rows costs the same as any other.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 ACCURACY = 10_000
 
 
-def melted(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
-    """(by…, column, value) with NULL values removed."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
-    return (
-        df.select(*by, F.explode(pairs).alias("p"))
-        .select(*by, F.col("p.column").alias("column"), F.col("p.value").alias("value"))
-        .filter(F.col("value").isNotNull())
-    )
-
-
 def exact_quantiles(
     df: DataFrame,
     cols: list[str],
@@ -36,33 +28,36 @@ def exact_quantiles(
     Columns without any value give no row.
     """
     by = by or []
-    long = melted(df, cols, by)
     keys = [*by, "column"]
     # twice the sketch's rank error plus the gap between its rank convention and the interpolated position
     slack = 5.0 / accuracy
     brackets = [(max(0.0, p - slack), min(1.0, p + slack)) for p in probs]
     edges = sorted({0.0, 1.0} | {e for pair in brackets for e in pair})
-    sketch = (
-        long.groupBy(*keys)
-        .agg(F.percentile_approx("value", [float(e) for e in edges], accuracy).alias("_cut"), F.count("*").alias("_n"))
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_cut", "_n")
+    number = lambda c: F.col(f"`{c}`").cast("double")
+    sketched = lambda c: F.struct(
+        F.lit(c).alias("column"),
+        F.percentile_approx(number(c), [float(e) for e in edges], accuracy).alias("cut"),
+        F.count(number(c)).alias("_n"),
     )
-    match = None
-    for k in keys:
-        cond = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        match = cond if match is None else match & cond
+    names = [f"_s{i}" for i in range(len(cols))]
+    wide = [sketched(c).alias(n) for c, n in zip(cols, names)]
+    sketches = (df.groupBy(*by).agg(*wide) if by else df.agg(*wide)).select(*by, F.inline(F.array(*names)))
+    summary = sketches.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    # one (column, value) row per number, so the bracket logic is compiled once and not per column
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), number(c).alias("value")) for c in cols])
+    numbers = df.select(*by, F.inline(pairs)).filter(F.col("value").isNotNull())
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    long = numbers.join(summary, match)  # one row per group and column; broadcast by the planner while small
     value = F.col("value")
-    cut = [F.get("_cut", F.lit(i)) for i in range(len(edges))]
-    slot, inside = F.lit(0), F.lit(False)
-    for c in cut:
+    at = [F.get("cut", F.lit(j)) for j in range(len(edges))]
+    # fewer rows than accuracy means less than one rank per unit of sketch error, so all of such a group is ordered
+    slot, inside = F.lit(0), F.col("_n") < accuracy
+    for c in at:
         slot = slot + (value >= c).cast("int")
     for lo, hi in brackets:
-        inside = inside | ((value >= cut[edges.index(lo)]) & (value <= cut[edges.index(hi)]))
-    # a small group has less than one rank per unit of sketch error, so all of it (fewer rows than accuracy) is ordered
-    inside = inside | (F.col("_n") < accuracy)
+        inside = inside | ((value >= at[edges.index(lo)]) & (value <= at[edges.index(hi)]))
     counted = (
-        long.join(sketch, match)
-        .select(*keys, "_n", slot.alias("_slot"), F.when(inside, value).alias("value"))
+        long.select(*keys, "_n", slot.alias("_slot"), F.when(inside, value).alias("value"))
         .groupBy(*keys, "_n", "_slot", "value")
         .agg(F.count("*").alias("_c"))
     )

@@ -175,7 +175,10 @@ def compare_algorithms(
     try:
         centers = km.kmeans(sample, cols, k, key, n_init, seed, start=start)
         vectors = assemble(sample, cols)
-        mixtures = [GaussianMixture(k=k, seed=seed + i, predictionCol="gmm", probabilityCol="_p").fit(vectors) for i in range(3)]
+        # converged when the mean log-likelihood per row gains less than 0.001; the built-in criterion is on the sum
+        tol = 1e-3 * max(sample.count(), 1)
+        mixture = GaussianMixture(k=k, tol=tol, predictionCol="gmm", probabilityCol="_p")
+        mixtures = [mixture.setSeed(seed + i).fit(vectors) for i in range(3)]
         mixture = max(mixtures, key=lambda m: m.summary.logLikelihood)
         tree = BisectingKMeans(k=k, seed=seed, predictionCol="tree").fit(vectors)
         labeled = tree.transform(mixture.transform(km.assign(vectors, cols, centers, "kmeans"))).select(key, *cols, "kmeans", "gmm", "tree")

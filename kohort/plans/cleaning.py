@@ -18,7 +18,7 @@ from kohort.operators.filters import extreme_income, implausible_birth, known, m
 from kohort.operators.impute import fitted_medians
 from kohort.operators.quantiles import exact_quantiles
 from kohort.operators.reshape import constant_columns
-from kohort.session import stage_table
+from kohort.session import spread, stage_table
 
 AUDIT_SCHEMA = "position int, step string, rows_before long, rows_after long, rows_removed long, detail string"
 
@@ -29,34 +29,32 @@ class Cleaned:
     audit: DataFrame
 
 
-def standardise(df: DataFrame) -> DataFrame:
-    """Numbers, flags and dates from text; negative amounts become missing."""
+def parsed(df: DataFrame) -> DataFrame:
+    """Adds ``_v_…`` columns: numbers, flags and dates read from the raw columns, each parsed once."""
     kinds = dict(df.dtypes)
-    fixed = {
-        c: S.null_negative((S.to_flag if c in fv.FLAGS else S.to_number)(F.col(c), kinds[c])) for c in fv.NUMERIC
-    }
-    fixed[fv.ENROLLED] = S.parse_date(F.col(fv.ENROLLED), kinds[fv.ENROLLED])
-    return df.withColumns(fixed)
+    values = {f"_v_{c}": (S.to_flag if c in fv.FLAGS else S.to_number)(F.col(c), kinds[c]) for c in fv.NUMERIC}
+    values[f"_v_{fv.ENROLLED}"] = S.parse_date(F.col(fv.ENROLLED), kinds[fv.ENROLLED])
+    return df.withColumns(values)
 
 
-def _repair_counts(df: DataFrame) -> tuple:
-    """Per-row counts of text values read as numbers and of values cleared."""
+def standardise(df: DataFrame) -> DataFrame:
+    """Typed columns, negative amounts missing, and three counters per row: text values read as numbers, values
+    cleared, and the share of required fields missing."""
     kinds = dict(df.dtypes)
-    converted, cleared = F.lit(0), F.lit(0)
-    for c in fv.NUMERIC:
-        raw = F.col(c)
-        value = (S.to_flag if c in fv.FLAGS else S.to_number)(raw, kinds[c])
-        if not S.is_numeric(kinds[c]):
-            plain = F.trim(raw.cast("string")).try_cast("double")
-            converted = converted + (value.isNotNull() & plain.isNull()).cast("int")
-        cleared = cleared + (raw.isNotNull() & value.isNull()).cast("int") + known(value < 0).cast("int")
-    return converted, cleared
-
-
-def standardised_with_counts(df: DataFrame) -> DataFrame:
-    converted, cleared = _repair_counts(df)
-    counted = df.withColumns({"_converted": converted, "_cleared": cleared})
-    return standardise(counted).withColumn("_missing", missing_share())
+    total = lambda conditions: sum([known(c).cast("int") for c in conditions], F.lit(0))
+    value = lambda c: F.col(f"_v_{c}")
+    texts = [c for c in fv.NUMERIC if not S.is_numeric(kinds[c])]
+    converted = total([value(c).isNotNull() & F.trim(F.col(c).cast("string")).try_cast("double").isNull() for c in texts])
+    cleared = total([F.col(c).isNotNull() & value(c).isNull() for c in fv.NUMERIC] + [value(c) < 0 for c in fv.NUMERIC])
+    rest = [c for c in df.columns if c not in fv.NUMERIC and c != fv.ENROLLED]
+    typed = parsed(df).select(
+        *rest,
+        *[S.null_negative(value(c)).alias(c) for c in fv.NUMERIC],
+        value(fv.ENROLLED).alias(fv.ENROLLED),
+        converted.alias("_converted"),
+        cleared.alias("_cleared"),
+    )
+    return typed.withColumn("_missing", missing_share())
 
 
 def harmonise(df: DataFrame) -> DataFrame:
@@ -102,7 +100,7 @@ def clean_customers(raw: DataFrame, as_of: dt.date | None = None, rules: dict =
     dropped = constant_columns(raw, [*fv.REQUIRED, fv.ENROLLED, fv.ROW_ORDER])
     raw = raw.drop(*dropped)
     # text is parsed once; every later pass scans typed columns, and the blank-row test reaches the scan
-    standard = stage_table(standardised_with_counts(raw), "standard")
+    standard = stage_table(standardise(spread(raw)), "standard")
     before = standard.agg(
         F.count("*").alias("rows"), F.sum("_converted").alias("converted"), F.sum("_cleared").alias("cleared")
     ).first()
