@@ -148,7 +148,7 @@ feat AS (
     {_ratio('NumWebPurchases', 'Total_Purchases')} AS Web_Share, {_ratio('NumCatalogPurchases', 'Total_Purchases')} AS Catalog_Share,
     {_ratio('NumStorePurchases', 'Total_Purchases')} AS Store_Share, {_ratio('Total_Spend', 'Income')} AS Spend_To_Income,
     {", ".join(f"{_ratio(c, 'Total_Spend')} AS {s}" for c, s in fv.SHARE_OF.items())},
-    CASE WHEN Age > 0 AND Age <= 34 THEN '<35' WHEN Age <= 44 THEN '35-44' WHEN Age <= 54 THEN '45-54'
+    CASE WHEN Age <= 0 THEN NULL WHEN Age <= 34 THEN '<35' WHEN Age <= 44 THEN '35-44' WHEN Age <= 54 THEN '45-54'
       WHEN Age <= 64 THEN '55-64' WHEN Age <= 200 THEN '65+' END AS Age_Band,
     CASE WHEN Children > 0 THEN 'Parent' ELSE 'No children' END AS Is_Parent
   FROM totals)"""
