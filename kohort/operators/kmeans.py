@@ -15,7 +15,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kohort.operators.metrics import add
-from kohort.session import spread
+from kohort.session import spread, task_count
 
 # task functions travel with the job, so executors need numpy and pandas but not this package
 register_pickle_by_value(sys.modules[__name__])
@@ -109,9 +109,12 @@ def fit_runs(
     width = len(cols)
     names = [*[f"s{i}" for i in range(width)], "n", "cost"]
     schema = "run int, cluster int, " + ", ".join(f"{c} double" for c in names)
-    selected = spread(df.select(*cols, *([mask] if mask else [])))
+    selected = df.select(*cols, *([mask] if mask else []))
+    tasks = task_count(selected)
+    selected = spread(selected)
     # the sums of a few tasks can be added here; those of many tasks are added by the cluster first
-    few_tasks = selected.rdd.getNumPartitions() <= DIRECT_TASKS
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few_tasks = tasks is not None and max(tasks, cores) <= DIRECT_TASKS
     for _ in range(max_iter):
         active = [(i, r.centers, r.member) for i, r in enumerate(runs) if not r.done]
         if not active:

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own_folders: dict[str, str] = {}
+
 
 def build_session(app: str = "kohort", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the operators rely on; everything else stays as the cluster set it."""
@@ -36,9 +38,9 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not sc.master.startswith("local"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
-    folder = tempfile.mkdtemp(prefix="kohort-shared-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if sc.applicationId not in _own_folders:
+        _own_folders[sc.applicationId] = tempfile.mkdtemp(prefix="kohort-shared-")
+    return _own_folders[sc.applicationId]
 
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:
@@ -52,10 +54,18 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def task_count(df: DataFrame) -> int | None:
+    """Number of tasks that read ``df``, or None behind a shuffle, where asking would run it."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return None
+    return df.rdd.getNumPartitions()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of an input with fewer partitions than cores; larger inputs are left alone.
 
     For work that is heavy per row (parsing, tokenising, distances) on a small file.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = task_count(df)
+    return df.repartition(cores) if tasks is not None and tasks < cores else df
