@@ -19,6 +19,8 @@ def build_session(app: str = "kohort", master: str | None = None, shuffle_partit
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.legacy.timeParserPolicy", "CORRECTED")
+        # skips the call-site lookup on every column expression, which dominates wide generated selects
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
