@@ -6,7 +6,7 @@ import importlib
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,3 +36,11 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kohort.llm.bpe import round_trip_digests
 
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizers().path("byte_bpe_50k.tiktoken"), tokenizers().PATTERN)
+
+
+@query("op7_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kohort.llm.suffix_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
