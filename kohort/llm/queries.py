@@ -44,3 +44,10 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kohort.llm.ngram_join import link_documents
+
+    return link_documents(table(spark, sf_dir, "documents"))
