@@ -51,3 +51,11 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kohort.llm.ngram_join import link_documents
 
     return link_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kohort.llm.kneser_ney import classify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "lang", "n_symbols", "perplexity", "threshold", "keep")
