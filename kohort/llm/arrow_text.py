@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: An odd base and its inverse modulo 2**64, for hashes of byte strings by differences of prefix sums.
 _BASE = 0x5851F42D4C957F2D | 3
@@ -38,6 +38,10 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+#: An addend for each place in a run of words.
+_STEPS = np.arange(1, 65, dtype=np.uint64) * _GOLDEN
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; the longest table asked for so far is kept."""
     have = _powers.get(base)
@@ -107,5 +111,5 @@ def runs_hash(hashes: np.ndarray, n: int) -> np.ndarray:
     m = max(0, len(hashes) - n + 1)
     out = np.full(m, n, dtype=np.uint64)
     for k in range(n):
-        out += mix(hashes[k : k + m] + np.uint64(k + 1) * _GOLDEN)
+        out += mix(hashes[k : k + m] + _STEPS[k])
     return mix(out)

@@ -5,11 +5,13 @@
 2. Shingles are put into one order for all sets: those in well-filled counters last, then by hash. Two similar sets share
    shingles near the start of this order (prefix filter): at least ``ell`` of them, which follows from both sizes. Sets that
    share fewer are dropped; the rest gives families, a superset of what can be linked.
-3. Each family is dealt into tiles by size band and, where a band is large, by hash. In a tile every set has a bitmap of its
-   hashed shingles; the bits in which two bitmaps differ bound the overlap from above. Pairs that pass are intersected
-   exactly. Pairs that are connected already are not compared.
-4. Large families first meet a tile's worth of pivots; only what is not in the largest component then goes on to meet the
-   others. So a group of near copies costs about its size, and no pair of one is left out that could join two components.
+3. Each family is dealt into tiles by size band and, where a band is large, by hash. Every set has a bitmap of its hashed
+   shingles, of one to two bits a shingle; the bits in which two bitmaps differ bound the overlap from above. The pairs that
+   pass split the families into finer ones, for which no set has been moved yet.
+4. Finer families are dealt into tiles likewise, with the sets themselves: wider bitmaps bound the overlap again, and pairs
+   that pass are intersected exactly, as sorted arrays. Pairs that are connected already are not compared.
+5. In both steps large families first meet a tile's worth of pivots; only what is not in the largest component then goes on
+   to meet the others. So a group of near copies costs about its size, and no pair is left out that could join two components.
 
 Rows with a null text have an empty set and stand alone. A row with a null id has a null component and links nothing. Rows
 that share an id are one document. Repeated rows stay repeated in the result. Columns other than id and text play no part.
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from kohort.llm.arrow_text import FOLDED_VALUES, mix, prefix_hash, runs_hash, slices, span_hash, words
 from kohort.llm.graph import components
+from kohort.llm.sieve import sifted
 from kohort.session import stage_table
 
 WORDS = 5
@@ -66,6 +69,21 @@ def least_overlap(total, num: int, den: int):
     return -(-num * total // (num + den))
 
 
+def width(n: int, factor: int = 1) -> int:
+    """Bits of the bitmap of n shingles: the power of two from ``factor`` a shingle on."""
+    return max(64, 1 << int(factor * n - 1).bit_length()) if n else 64
+
+
+def bitmap(items: np.ndarray, bits: int) -> np.ndarray:
+    """The bitmap of a set; one of half the width is the first half or-ed with the second."""
+    marks = np.zeros(bits, dtype=np.uint8)
+    marks[(mix(items) & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(marks).view(np.uint64)
+
+
+_MEASURED = ["_id", "n", "k1", "k2", "chunk", "bits"]
+
+
 def _measure():
     def run(batches):
         cells = np.zeros(CELLS, dtype=np.int64)
@@ -76,14 +94,12 @@ def _measure():
                     cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
                 one, two = _keys(sets)
                 m = b - a
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, m), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                    names=["_id", "n", "k1", "k2", "chunk", "cells"],
-                )
+                maps = pa.array([bitmap(s, width(len(s))).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), pa.nulls(m, pa.int32()), maps], names=_MEASURED)
         parts = cells.reshape(CHUNKS, -1)
         if cells.any():
             null = pa.nulls(CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array(range(CHUNKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["_id", "n", "k1", "k2", "chunk", "cells"])
+            yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array(range(CHUNKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=_MEASURED)
 
     return run
 
@@ -91,7 +107,7 @@ def _measure():
 def _add_cells(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
-        for c in batch.column(batch.schema.get_field_index("cells")).to_pylist():
+        for c in batch.column(batch.schema.get_field_index("bits")).to_pylist():
             part = np.frombuffer(zlib.decompress(c), dtype=np.int64)
             total = part.copy() if total is None else total + part
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["chunk", "cells"])
@@ -100,7 +116,7 @@ def _add_cells(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) ->
 def _levels(measured: DataFrame) -> np.ndarray:
     """For each counter 0, or 1 + log2 of its count where that stands out. Always ``CELLS`` bytes."""
     cells = np.zeros(CELLS, dtype=np.int64).reshape(CHUNKS, -1)
-    for row in measured.where("chunk is not null").select("chunk", "cells").groupBy("chunk").applyInArrow(_add_cells, "chunk int, cells binary").collect():
+    for row in measured.where("chunk is not null").select("chunk", "bits").groupBy("chunk").applyInArrow(_add_cells, "chunk int, cells binary").collect():
         cells[row.chunk] = np.frombuffer(zlib.decompress(row.cells), dtype=np.int64)
     flat = cells.ravel()
     mean = flat.mean()
@@ -186,7 +202,7 @@ def band(n: str, num: int, den: int):
 
 
 def _dealt(members: DataFrame, size: int) -> DataFrame:
-    """``members``: _id, k1, k2, fam, band, pivot, comp. Adds ``tiles``, the tiles in which each must be compared.
+    """``members``: _id, k1, k2, n, fam, band, pivot, comp. Adds ``tiles``, the tiles in which each must be compared.
 
     A pivot meets all pivots and all others of its band and the two beside it; the others do not meet each other.
     """
@@ -202,63 +218,14 @@ def _dealt(members: DataFrame, size: int) -> DataFrame:
     met = beside.join(there, ["fam", "there"]).withColumn("unit", F.explode(units))
     here, other = F.struct(F.col("band"), F.col("pivot"), F.col("sub")), F.struct(F.col("there").alias("band"), F.col("unit.pivot").alias("pivot"), F.col("unit.sub").alias("sub"))
     tile = F.xxhash64("fam", F.least(here, other), F.greatest(here, other))
-    return met.groupBy("_id", "k1", "k2").agg(F.collect_set(tile).alias("tiles"), F.first("fam").alias("fam"), F.first("pivot").alias("pivot"), F.first("comp").alias("comp"))
+    return met.groupBy("_id", "k1", "k2").agg(F.collect_set(tile).alias("tiles"), F.first("pivot").alias("pivot"), F.first("comp").alias("comp"), F.first("n").alias("n"))
 
 
-_PLACED = T.StructType().add("tile", "long").add("_id", "long").add("pivot", "boolean").add("comp", "long").add("items", "binary")
+_FOUND = "a long, b long"
 
 
-def _placed(batches):
-    """A row for each set and tile."""
-    for batch in batches:
-        ids, tiles, pivot, comp = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
-        for a, b, raw, off in slices(batch.column(1)):
-            rows = [(t, ids[a + i], pivot[a + i], comp[a + i], s.tobytes()) for i, s in enumerate(shingle_sets(raw, off)) for t in tiles[a + i]]
-            types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_PLACED.names)
-
-
-def join_tile(ids, sets, pivot, comp, num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
-    """Links (pairs of ids) that join the sets of a tile into the components they form; sets with equal ``comp`` count as joined."""
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), ids[i]))
-    sets, pivot = [sets[i] for i in order], np.array([pivot[i] for i in order])
-    label = np.unique(np.array([comp[i] for i in order], dtype=np.int64), return_inverse=True)[1]
-    names = [ids[i] for i in order]
-    n = np.array([len(s) for s in sets], dtype=np.int64)
-    bits = max(64, 1 << int(2 * n.max() - 1).bit_length())
-    maps = np.zeros((len(sets), bits // 64), dtype=np.uint64)
-    for i, s in enumerate(sets):
-        marks = np.zeros(bits, dtype=np.uint8)
-        marks[(mix(s) & np.uint64(bits - 1)).astype(np.int64)] = 1
-        maps[i] = np.packbits(marks).view(np.uint64)
-    links = []
-    for i in range(len(sets) - 1):
-        stop = int(np.searchsorted(n, den * n[i] // num, side="right"))
-        j = np.arange(i + 1, stop)
-        j = j[(label[j] != label[i]) & (pivot[j] | pivot[i])]
-        for k in range(0, len(j), 256):
-            some = j[k : k + 256]
-            differ = np.bitwise_count(maps[some] ^ maps[i]).sum(axis=1).astype(np.int64)
-            both = n[some] + n[i]
-            some = some[(both - differ) // 2 >= least_overlap(both, num, den)]
-            for x in some.tolist():
-                if label[x] != label[i]:
-                    spot = np.searchsorted(sets[x], sets[i])
-                    spot[spot == n[x]] = 0
-                    shared = int((sets[x][spot] == sets[i]).sum())
-                    if den * shared >= num * (int(n[x] + n[i]) - shared):
-                        links.append((names[i], names[x]))
-                        label[label == label[x]] = label[i]
-    return links
-
-
-def _joined(num: int, den: int):
-    """Input is sorted by tile."""
-
-    def work(rows):
-        for tile in rows:
-            ids, pivot, comp, items = zip(*tile, strict=True)
-            yield from join_tile(ids, [np.frombuffer(x, dtype=np.uint64) for x in items], pivot, comp, num, den)
+def _tiles(work):
+    """Runs ``work`` (ids, pivot, comp, n, items -> links) on every tile. Input: tile, _id, pivot, comp, n, items, sorted by tile."""
 
     def batch_of(links):
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
@@ -267,26 +234,126 @@ def _joined(num: int, den: int):
         at, held = None, []
         for batch in batches:
             links = []
-            for t, *row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+            for t, *row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
                 if t != at:
                     if len(held) > 1:
-                        links += work([held])
+                        links += work(*zip(*held, strict=True))
                     at, held = t, []
                 held.append(row)
             yield batch_of(links)
         if len(held) > 1:
-            yield batch_of(list(work([held])))
+            yield batch_of(work(*zip(*held, strict=True)))
 
     return run
 
 
+class _Joined:
+    """Which sets of a tile are connected, and the links that connected them."""
+
+    def __init__(self, ids, comp):
+        self.ids = ids
+        self.label = np.unique(np.array(comp, dtype=np.int64), return_inverse=True)[1]
+        self.links: list[tuple[int, int]] = []
+
+    def link(self, i: int, j: int) -> None:
+        if self.label[i] != self.label[j]:
+            self.links.append((self.ids[i], self.ids[j]))
+            self.label[self.label == self.label[j]] = self.label[i]
+
+
+def bound_tile(ids, pivot, comp, n, items, num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
+    """Pairs whose bitmaps do not rule out a link, as many as it takes to connect them."""
+    order = sorted(range(len(ids)), key=lambda i: (n[i], ids[i]))
+    joined = _Joined([ids[i] for i in order], [comp[i] for i in order])
+    pivot, n = np.array([pivot[i] for i in order]), np.array([n[i] for i in order], dtype=np.int64)
+    maps = [np.frombuffer(items[i], dtype=np.uint64) for i in order]
+    words = np.array([len(m) for m in maps])
+    # sorted by size, sets of one width stand together; a link reaches into the same width and the next
+    first = {int(w): int(np.flatnonzero(words == w)[0]) for w in np.unique(words)}
+    same = {w: np.stack([m for m in maps if len(m) == w]) for w in first}
+    halved = {w: same[w][:, : w // 2] | same[w][:, w // 2 :] for w in first if w > 1}
+    for i in range(len(ids) - 1):
+        stop = int(np.searchsorted(n, den * n[i] // num, side="right"))
+        w = int(words[i])
+        for other, table in ((w, same[w]), (2 * w, halved.get(2 * w))):
+            if table is None:
+                continue
+            a = max(i + 1, first[other])
+            b = min(stop, first[other] + len(table))
+            for k in range(a, b, 512):
+                j = np.arange(k, min(b, k + 512))
+                j = j[(joined.label[j] != joined.label[i]) & (pivot[j] | pivot[i])]
+                differ = np.bitwise_count(table[j - first[other]] ^ maps[i]).sum(axis=1).astype(np.int64)
+                both = n[j] + n[i]
+                for x in j[(both - differ) // 2 >= least_overlap(both, num, den)].tolist():
+                    joined.link(i, x)
+    return joined.links
+
+
+def join_tile(ids, pivot, comp, n, items, num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
+    """Links that join the sets of a tile into the components they form; sets with equal ``comp`` count as joined."""
+    order = sorted(range(len(ids)), key=lambda i: (n[i], ids[i]))
+    joined = _Joined([ids[i] for i in order], [comp[i] for i in order])
+    pivot, n = np.array([pivot[i] for i in order]), np.array([n[i] for i in order], dtype=np.int64)
+    sets = [np.frombuffer(items[i], dtype=np.uint64) for i in order]
+    bits = width(int(n.max()), 2)
+    maps = np.stack([bitmap(s, bits) for s in sets])
+    for i in range(len(sets) - 1):
+        stop = int(np.searchsorted(n, den * n[i] // num, side="right"))
+        for k in range(i + 1, stop, 256):
+            j = np.arange(k, min(stop, k + 256))
+            j = j[(joined.label[j] != joined.label[i]) & (pivot[j] | pivot[i])]
+            differ = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1).astype(np.int64)
+            both = n[j] + n[i]
+            for x in j[(both - differ) // 2 >= least_overlap(both, num, den)].tolist():
+                if joined.label[x] != joined.label[i]:
+                    spot = np.searchsorted(sets[x], sets[i])
+                    spot[spot == n[x]] = 0
+                    shared = int((sets[x][spot] == sets[i]).sum())
+                    if den * shared >= num * (int(n[x] + n[i]) - shared):
+                        joined.link(i, x)
+    return joined.links
+
+
+def _closed(members: DataFrame, content: DataFrame, work, tile: int, num: int, den: int) -> DataFrame:
+    """Links within the families. ``members``: _id, k1, k2, n, fam; ``content``: _id, k1, k2, items. Gives node, component."""
+    sizes = members.groupBy("fam").agg((F.count("*") > tile).alias("large"))
+    banded = members.join(sizes, "fam").withColumn("band", F.when(F.col("large"), band("n", num, den)).otherwise(0))
+    units = banded.groupBy("fam", "band").agg(F.ceil(F.count("*") / tile).alias("units"))
+
+    def links(chosen: DataFrame) -> DataFrame:
+        rows = _dealt(chosen, tile).join(content, ["_id", "k1", "k2"]).select(F.explode("tiles").alias("tile"), "_id", "pivot", "comp", "n", "items")
+        return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(work), _FOUND)
+
+    pivots = banded.join(units, ["fam", "band"]).withColumn("pivot", F.pmod(F.xxhash64("k2", "_id"), "units") == 0).withColumn("comp", F.col("_id"))
+    found = stage_table(links(pivots), "links")
+    joined = components(found)
+    # what the pivots have not joined: all outside the largest component of a large family meets the others of the family
+    comp = banded.where("large").join(joined.withColumnRenamed("node", "_id"), "_id", "left").withColumn("comp", F.coalesce("component", "_id"))
+    size = comp.groupBy("fam", "comp").agg(F.count("*").alias("rows"))
+    main = size.groupBy("fam").agg(F.max(F.struct("rows", "comp")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("fam", F.col("m.comp").alias("main"))
+    apart = stage_table(comp.join(main, "fam").withColumn("pivot", F.col("comp") != F.col("main")).select("_id", "k1", "k2", "n", "fam", "band", "pivot", "comp"), "apart")
+    return joined if apart.isEmpty() else components(found.unionByName(links(apart)))
+
+
+_SET = T.StructType().add("_id", "long").add("k1", "long").add("k2", "long").add("items", "binary")
+
+
+def _sets(batches):
+    for batch in batches:
+        for a, b, raw, off in slices(batch.column(1)):
+            sets = shingle_sets(raw, off)
+            one, two = _keys(sets)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(one), pa.array(two), pa.array([s.tobytes() for s in sets], pa.binary())], names=_SET.names)
+
+
 def link_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN, tile: int = TILE, run_pairs: int = RUN_PAIRS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``; linked where the Jaccard similarity is num / den or more."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
-    measured = stage_table(rows.mapInArrow(_measure(), "_id long, n long, k1 long, k2 long, chunk int, cells binary"), "sets")
+    measured = stage_table(rows.mapInArrow(_measure(), "_id long, n long, k1 long, k2 long, chunk int, bits binary"), "sets")
     levels = spark.sparkContext.broadcast(_levels(measured))
-    every = measured.where("chunk is null").drop("chunk", "cells")
+    every = measured.where("chunk is null").drop("chunk")
     classes = every.where("n > 0 and _id is not null").groupBy("k1", "k2").agg(F.min("_id").alias("_id"))
 
     starts = rows.where("_id is not null").mapInArrow(_prefixes(levels, num, den), "_id long, n int, k1 long, k2 long, start array<long>")
@@ -295,29 +362,22 @@ def link_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     both, most = F.col("na") + F.col("nb"), F.greatest("na", "nb")
     ell = F.ceil(both * num / float(num + den) - 1e-9) - F.ceil(most * num / float(den) - 1e-9) + 1
     pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("chained").alias("chained")).where(F.col("chained") | (F.col("c") >= ell)).select("a", "b")
-    family = components(pairs).select(F.col("node").alias("_id"), F.col("component").alias("fam"))
-
-    sizes = every.join(classes, ["_id", "k1", "k2"], "left_semi").distinct()
-    members = stage_table(sizes.join(family, "_id"), "members")
-    large = members.groupBy("fam").agg((F.count("*") > tile).alias("large"))
-    members = members.join(large, "fam").withColumn("band", F.when(F.col("large"), band("n", num, den)).otherwise(0))
-    counted = members.groupBy("fam", "band").agg(F.ceil(F.count("*") / tile).alias("units"))
-    first = members.join(counted, ["fam", "band"]).withColumn("pivot", F.pmod(F.xxhash64("k2", "_id"), "units") == 0).withColumn("comp", F.col("_id")).drop("units", "large", "n")
 
-    def links(chosen: DataFrame) -> DataFrame:
-        dealt = _dealt(chosen, tile).drop("k1", "k2", "fam")
-        sets = rows.join(dealt, "_id").select("_id", "_text", "tiles", "pivot", "comp").mapInArrow(_placed, _PLACED)
-        return sets.repartition("tile").sortWithinPartitions("tile").mapInArrow(_joined(num, den), "a long, b long")
+    stand = every.join(classes, ["_id", "k1", "k2"], "left_semi").groupBy("_id", "k1", "k2", "n").agg(F.first("bits").alias("items"))
+    members = stage_table(stand.join(_families(components(pairs)), "_id"), "members")
+    bound = lambda *x: bound_tile(*x, num, den)
+    exact = lambda *x: join_tile(*x, num, den)
+    finer = _closed(members.drop("items"), members.select("_id", "k1", "k2", "items"), bound, tile, num, den)
+    members = stage_table(members.drop("fam", "items").join(_families(finer), "_id"), "members")
+    wanted = members.select("_id").distinct()
+    content = sifted(rows, wanted, ["_id"]).join(wanted, "_id").select("_id", "_text").mapInArrow(_sets, _SET)
+    content = stage_table(content.join(members.select("_id", "k1", "k2"), ["_id", "k1", "k2"], "left_semi"), "contents")
+    joined = _closed(members, content, exact, tile, num, den)
 
-    found = stage_table(links(first), "links")
-    # what the pivots have not joined: all outside the largest component of a large family meets the others of the family
-    joined = components(found)
-    comp = members.where("large").drop("large").join(joined.withColumnRenamed("node", "_id"), "_id", "left").withColumn("comp", F.coalesce("component", "_id")).drop("component", "n")
-    size = comp.groupBy("fam", "comp").agg(F.count("*").alias("rows"))
-    main = size.groupBy("fam").agg(F.max(F.struct("rows", "comp")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("fam", F.col("m.comp").alias("main"))
-    second = stage_table(comp.join(main, "fam").withColumn("pivot", F.col("comp") != F.col("main")).drop("main"), "apart")
-    if not second.isEmpty():
-        joined = components(found.unionByName(links(second)))
     least = classes.join(joined.withColumnRenamed("node", "_id"), "_id", "left").select("k1", "k2", F.coalesce("component", "_id").alias("least"))
     out = every.join(least.groupBy("k1", "k2").agg(F.min("least").alias("least")), ["k1", "k2"], "left")
     return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNull(), None).when(F.col("n") == 0, F.col("_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def _families(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("_id"), F.col("component").alias("fam"))

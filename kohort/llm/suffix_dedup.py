@@ -31,7 +31,7 @@ from kohort.session import stage_table
 
 SEED = 32
 MAX_RUN = 20_000
-ROUND_ROWS = 12_000
+ROUND_ROWS = 8_000
 _NO_ID = -(1 << 63)
 _OTHER_VALUES = mix(BYTE_VALUES + np.uint64(77))
 
@@ -128,7 +128,7 @@ def _row_key(docs: DataFrame, id_column: str, text: str) -> list[Column]:
 def _find_anchors(length: int):
     def run(batches):
         for batch in batches:
-            for a, b, raw, off in slices(batch.column(2)):
+            for a, b, raw, off in slices(batch.column(2), 1 << 20):
                 hashes, place, rows, left, right, twin, later = anchors(raw, off, length)
                 bounds = np.searchsorted(rows, np.arange(b - a + 1)).tolist()
                 lists: list[list] = [[], [], [], []]
@@ -175,7 +175,7 @@ def _cut(length: int):
                     a, b = max(0, p - w), min(len(data), p + length)
                     rows.append((q["anchor"], i, key, p, data[a:b], p - a))
                     size += b - a
-                if size > (4 << 20):
+                if size > (2 << 20):
                     yield _segments(rows)
                     rows, size = [], 0
             if rows:
@@ -205,9 +205,8 @@ def _compare(length: int):
         raw, off = _bytes(part.column("seg"))
         ahead, place = part.column("ahead").to_numpy(), part.column("place").to_numpy()
         symbols = np.full((len(anchor), width), 256, dtype=np.uint16)
-        size = np.diff(off)
-        r = np.repeat(np.arange(len(anchor)), size)
-        symbols[r, np.arange(len(raw)) - off[:-1][r] + (w - ahead)[r]] = raw
+        for row, (a, b, c) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), (w - ahead).tolist(), strict=True)):
+            symbols[row, c : c + b - a] = raw[a:b]
         first, last = suffix_rounds(symbols, group, length)
         hit = np.flatnonzero(first >= 0)
         lo = place[hit] - w + first[hit]

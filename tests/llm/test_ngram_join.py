@@ -74,7 +74,7 @@ def test_tile_joins_what_all_pairs_join():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
     sets = [np.unique(np.concatenate((base[rng.random(400) < 0.9], rng.integers(0, 1 << 63, 5).astype(np.uint64)))) for _ in range(40)]
-    links = join_tile(list(range(40)), sets, [True] * 40, list(range(40)))
+    links = join_tile(range(40), [True] * 40, range(40), [len(s) for s in sets], [s.tobytes() for s in sets])
     label = list(range(40))
     for a, b in links:
         assert 4 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b]))
