@@ -88,12 +88,12 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * powers(_INVERSE, len(sums))[start])
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word (a run of bytes that are no white space, inside one row), and the first word of each row.
+def words(raw: np.ndarray, off: np.ndarray, apart: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word (a run of bytes inside one row that are not ``apart``), and the first word of each row.
 
     The third array has one entry more than there are rows.
     """
-    solid = ~IS_SPACE[raw]
+    solid = ~apart[raw]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     ends = solid.copy()

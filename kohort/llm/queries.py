@@ -59,3 +59,10 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "lang", "n_symbols", "perplexity", "threshold", "keep")
+
+
+@query("op8_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kohort.llm.decontam import find_items
+
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
