@@ -66,3 +66,10 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kohort.llm.decontam import find_items
 
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kohort.llm.token_files import token_digests, write_tokens
+
+    return token_digests(write_tokens(table(spark, sf_dir, "documents"), tokenizers().path("byte_bpe_50k.json")))
