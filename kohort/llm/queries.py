@@ -73,3 +73,19 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kohort.llm.token_files import token_digests, write_tokens
 
     return token_digests(write_tokens(table(spark, sf_dir, "documents"), tokenizers().path("byte_bpe_50k.json")))
+
+
+@query(
+    "op3_block_search",
+    """WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+        AND len(list_filter(embedding, x -> NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    p AS (SELECT q.vec_id AS query_id, x.vec_id, list_distance(q.e, x.e) AS score
+      FROM v q JOIN v x ON x.vec_id <> q.vec_id AND len(x.e) = len(q.e) WHERE q.vec_id % 100 = 0),
+    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+)
+def block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kohort.llm.block_search import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
