@@ -159,8 +159,8 @@ def merge_spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return lo[begin].astype(np.int32), hi[end].astype(np.int32)
 
 
-def _cut(length: int):
-    """Surroundings of the wanted anchors of each text; big groups as single strings."""
+def _cut(length: int, make):
+    """``make`` of the surroundings of the wanted anchors of each text, in portions."""
     w = length - SEED
 
     def run(batches):
@@ -175,11 +175,11 @@ def _cut(length: int):
                     a, b = max(0, p - w), min(len(data), p + length)
                     rows.append((q["anchor"], i, key, p, data[a:b], p - a))
                     size += b - a
-                if size > (2 << 20):
-                    yield _segments(rows)
+                if size > (1 << 18):
+                    yield make(rows)
                     rows, size = [], 0
             if rows:
-                yield _segments(rows)
+                yield make(rows)
 
     return run
 
@@ -247,23 +247,18 @@ _STRING = T.StructType().add("h1", "long").add("h2", "long").add("_id", "long").
 def _strings(length: int):
     """Every string of ``length`` bytes in the segments, by two hashes."""
 
-    def run(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = pa.Table.from_batches([batch.slice(a, 500)])
-                raw, off = _bytes(part.column("seg"))
-                size = np.maximum(np.diff(off) - length + 1, 0)
-                r = np.repeat(np.arange(len(size)), size)
-                at = np.arange(len(r)) - np.repeat(np.cumsum(size) - size, size) + off[:-1][r]
-                one, two = prefix_hash(raw), prefix_hash(raw, _OTHER_VALUES)
-                lo = (part.column("place").to_numpy() - part.column("ahead").to_numpy())[r] + at - off[:-1][r]
-                take = pa.array(r)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(span_hash(one, at, at + length).view(np.int64)), pa.array(span_hash(two, at, at + length).view(np.int64)), part.column("_id").take(take).combine_chunks(), part.column("_key").take(take).combine_chunks(), pa.array(lo, pa.int32())],
-                    names=_STRING.names,
-                )
+    def make(rows):
+        part = pa.Table.from_batches([_segments(rows)])
+        raw, off = _bytes(part.column("seg"))
+        size = np.maximum(np.diff(off) - length + 1, 0)
+        r = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(r)) - np.repeat(np.cumsum(size) - size, size) + off[:-1][r]
+        hashes = [span_hash(prefix_hash(raw, values), at, at + length).view(np.int64) for values in (BYTE_VALUES, _OTHER_VALUES)]
+        lo = (part.column("place").to_numpy() - part.column("ahead").to_numpy())[r] + at - off[:-1][r]
+        take = pa.array(r)
+        return pa.RecordBatch.from_arrays([pa.array(hashes[0]), pa.array(hashes[1]), part.column("_id").take(take).combine_chunks(), part.column("_key").take(take).combine_chunks(), pa.array(lo, pa.int32())], names=_STRING.names)
 
-    return run
+    return make
 
 
 def repeated_spans(rows: DataFrame, length: int, max_run: int = MAX_RUN) -> tuple[DataFrame, DataFrame]:
@@ -281,12 +276,12 @@ def repeated_spans(rows: DataFrame, length: int, max_run: int = MAX_RUN) -> tupl
     shared = places.groupBy("anchor").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b"), F.count("*").alias("n")).where("a <> b").select("anchor", (F.col("n") > max_run).alias("big"))
     wanted = stage_table(places.join(shared, "anchor").groupBy("_id", "_key", "big").agg(F.collect_set(F.struct("anchor", "place")).alias("wanted")), "wanted")
 
-    def segments(big: bool) -> DataFrame:
+    def cut(big: bool, make, schema: T.StructType) -> DataFrame:
         # the rows are read with all their columns, so that this shuffle of the texts is also that of the last join
-        return rows.join(wanted.where(F.col("big") == big).drop("big"), ["_id", "_key"]).select("_id", "_key", "_text", "wanted", "_row").mapInArrow(_cut(length), _SEGMENT)
+        return rows.join(wanted.where(F.col("big") == big).drop("big"), ["_id", "_key"]).select("_id", "_key", "_text", "wanted", "_row").mapInArrow(_cut(length, make), schema)
 
-    small = segments(False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(length), _SPAN)
-    strings = segments(True).mapInArrow(_strings(length), _STRING)
+    small = cut(False, _segments, _SEGMENT).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(length), _SPAN)
+    strings = cut(True, _strings(length), _STRING)
     own = F.xxhash64("_key", "lo")
     twice = strings.groupBy("h1", "h2").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("h1", "h2")
     large = strings.join(twice, ["h1", "h2"]).select("_id", "_key", "lo", (F.col("lo") + length).alias("hi"))
