@@ -318,3 +318,18 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id"
 
     schema = T.StructType([rows.schema["_row"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
     return full.mapInArrow(run, schema).select(*[F.col("_row").getField(c).alias(c) for c in keep], "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def without_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the bytes that stay as their text; characters of which a byte went are dropped. A null text becomes empty."""
+    found = remove_repeats(docs, length, id_column, text).select(*[F.col(f"`{c}`") for c in docs.columns], "kept")
+    at, last = docs.columns.index(text), len(docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            whole = pa.array([k.decode("utf-8", "ignore") for k in batch.column(last).to_pylist()], pa.string())
+            columns = batch.columns[:-1]
+            columns[at] = whole
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return found.mapInArrow(run, docs.schema)
