@@ -9,19 +9,19 @@ from kohort.operators import profiles as P, ranking as R
 
 
 def archetype_table(spark: SparkSession) -> DataFrame:
-    rows = [(name, c, float(w)) for name, weights in fv.ARCHETYPE_WEIGHTS.items() for c, w in weights.items()]
+    rows = [(name, c, float(w)) for name, weights in ((a["name"], a["weights"]) for a in fv.ARCHETYPES) for c, w in weights.items()]
     return spark.createDataFrame(rows, "name string, column string, weight double")
 
 
 def playbook_table(spark: SparkSession) -> DataFrame:
-    rows = [(n, *p) for n, p in fv.PLAYBOOK.items()]
+    rows = [(a["name"], a["summary"], a["goal"], a["actions"], a["kpis"], a["guardrail"]) for a in fv.ARCHETYPES]
     return spark.createDataFrame(
         rows, "name string, summary string, goal string, actions array<string>, kpis array<string>, responsible_use string"
     )
 
 
 def rfm_playbook_table(spark: SparkSession) -> DataFrame:
-    rows = [(n, o, a) for n, (o, a) in fv.RFM_PLAYBOOK.items()]
+    rows = [(p["persona"], p["objective"], p["actions"]) for p in fv.RFM_PLAYBOOK]
     return spark.createDataFrame(rows, "Persona string, objective string, actions array<string>")
 
 
@@ -47,7 +47,7 @@ def name_segments(scores: DataFrame, segments: DataFrame, segment: str = "Segmen
     Works through the segments in order and keeps, per set of used names, only the best total so far, so there
     are at most 2^10 states per step. With more segments than names, each segment may also stay unnamed.
     """
-    names = sorted(fv.ARCHETYPE_WEIGHTS)
+    names = sorted(a["name"] for a in fv.ARCHETYPES)
     ids = [r[0] for r in segments.select(segment).distinct().orderBy(segment).collect()]
     bit_of = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, 1 << i)])
     spark = scores.sparkSession

@@ -11,9 +11,7 @@ from kohort.sources.readers import UnreadableTable
 
 def _spellings() -> dict[str, str]:
     names = {name_key(c): c for c in [*fv.REQUIRED, fv.ENROLLED, fv.ID]}
-    for target, words in fv.COLUMN_SPELLINGS.items():
-        names.update({w: target for w in words.split()})
-    return names
+    return names | fv.COLUMN_ALIASES
 
 
 def normalize_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
