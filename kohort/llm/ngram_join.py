@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from kohort.llm.arrow_text import FOLDED_VALUES, mix, prefix_hash, runs_hash, slices, span_hash, words
 from kohort.llm.graph import components
@@ -34,8 +34,8 @@ from kohort.session import stage_table
 
 WORDS = 5
 NUM, DEN = 75, 100
-CELLS = 1 << 20
-CHUNKS = 16
+CELLS = 1 << 22
+CHUNKS = 64
 RUN_PAIRS = 32
 HELD_ROWS = 50_000
 TILE = 512
@@ -86,12 +86,12 @@ _MEASURED = ["_id", "n", "k1", "k2", "chunk", "bits"]
 
 def _measure():
     def run(batches):
-        cells = np.zeros(CELLS, dtype=np.int64)
+        cells = np.zeros(CELLS, dtype=np.int32)
         for batch in batches:
             for a, b, raw, off in slices(batch.column(1)):
                 sets = shingle_sets(raw, off)
-                if sets:
-                    cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                spots, many = np.unique((np.concatenate([*sets, np.zeros(0, np.uint64)]) & np.uint64(CELLS - 1)).astype(np.int32), return_counts=True)
+                cells[spots] += many.astype(np.int32)
                 one, two = _keys(sets)
                 m = b - a
                 maps = pa.array([bitmap(s, width(len(s))).tobytes() for s in sets], pa.binary())
@@ -108,8 +108,8 @@ def _add_cells(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) ->
     total = None
     for batch in batches:
         for c in batch.column(batch.schema.get_field_index("bits")).to_pylist():
-            part = np.frombuffer(zlib.decompress(c), dtype=np.int64)
-            total = part.copy() if total is None else total + part
+            part = np.frombuffer(zlib.decompress(c), dtype=np.int32).astype(np.int64)
+            total = part if total is None else total + part
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["chunk", "cells"])
 
 
@@ -120,10 +120,15 @@ def _levels(measured: DataFrame) -> np.ndarray:
         cells[row.chunk] = np.frombuffer(zlib.decompress(row.cells), dtype=np.int64)
     flat = cells.ravel()
     mean = flat.mean()
-    high = flat > mean + 6 * np.sqrt(mean + 1) + 16
+    high = flat > mean + 6 * np.sqrt(mean + 1) + 4
     return np.where(high, 1 + np.log2(np.maximum(flat, 1)).astype(np.int64), 0).astype(np.uint8)
 
 
+def spare(n):
+    """By how many shingles a start is longer than two similar sets need to share one."""
+    return 2 + (3 * n + 99) // 100
+
+
 def _prefixes(levels, num: int, den: int):
     def run(batches):
         order = levels.value
@@ -133,7 +138,7 @@ def _prefixes(levels, num: int, den: int):
                 one, two = _keys(sets)
                 starts = []
                 for s in sets:
-                    k = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
+                    k = len(s) - -(-num * len(s) // den) + 1 + spare(len(s)) if len(s) else 0
                     level = order[(s & np.uint64(CELLS - 1)).astype(np.int64)]
                     starts.append((s[np.argsort(level, kind="stable")[:k]] if level.any() else s[:k]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int32()), pa.array(one), pa.array(two), pa.array(starts, pa.list_(pa.int64()))], names=["_id", "n", "k1", "k2", "start"])
@@ -141,61 +146,70 @@ def _prefixes(levels, num: int, den: int):
     return run
 
 
-_PAIR = "a long, b long, na int, nb int, chained boolean"
+_PAIR = "token long, a long, b long, na int, nb int"
 
 
 def _pairs_of_runs(num: int, den: int, run_pairs: int):
-    """Pairs of sets that share a token: all of a short run, neighbours by size of a long one. Input is sorted by token, size and id."""
+    """Pairs of sets that share a narrow token, and a row (token, set) for each set with a wide one. Input is sorted by token."""
 
-    def work(token, ids, n, going_on):
-        keep = np.ones(len(token), dtype=bool)
-        keep[1:] = (token[1:] != token[:-1]) | (ids[1:] != ids[:-1]) | (n[1:] != n[:-1])
-        token, ids, n = token[keep], ids[keep], n[keep]
+    def work(token, ids, n, wide_token):
         start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         size = np.diff(np.append(start, len(token)))
-        left, right, chained = [], [], []
-        long = (size > run_pairs) | (token[start] == going_on)
-        for m in np.unique(size[(size > 1) & ~long]):
-            s = start[(size == m) & ~long]
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        wide = (size > run_pairs) | (token[start] == wide_token)
+        for m in np.unique(size[(size > 1) & ~wide]):
+            s = start[(size == m) & ~wide]
             i, j = np.triu_indices(m, 1)
             left.append((s[:, None] + i).ravel())
             right.append((s[:, None] + j).ravel())
-            chained.append(np.zeros(len(left[-1]), dtype=bool))
-        for s, m in zip(start[long], size[long], strict=True):
-            left.append(np.arange(s, s + m - 1))
-            right.append(np.arange(s + 1, s + m))
-            chained.append(np.ones(m - 1, dtype=bool))
-        if not left:
-            return None
-        x, y, c = np.concatenate(left), np.concatenate(right), np.concatenate(chained)
+        x, y = np.concatenate(left), np.concatenate(right)
         near = (den * np.minimum(n[x], n[y]).astype(np.int64) >= num * np.maximum(n[x], n[y]).astype(np.int64)) & (ids[x] != ids[y])
-        x, y, c = x[near], y[near], c[near]
+        x, y = x[near], y[near]
         swap = ids[x] > ids[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
-        return pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(n[x]), pa.array(n[y]), pa.array(c)], names=["a", "b", "na", "nb", "chained"])
+        z = np.flatnonzero(np.repeat(wide, size))
+        pairs = pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(ids[x]), pa.array(ids[y]), pa.array(n[x]), pa.array(n[y])], names=["token", "a", "b", "na", "nb"])
+        rows = pa.RecordBatch.from_arrays([pa.array(token[z]), pa.array(ids[z]), pa.nulls(len(z), pa.int64()), pa.array(n[z]), pa.nulls(len(z), pa.int32())], names=pairs.schema.names)
+        return [b for b in (pairs, rows) if b.num_rows]
 
     def run(batches):
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-        going_on = None
+        wide_token = None
         for batch in batches:
             held = [np.concatenate((h, batch.column(i).to_numpy())) for i, h in enumerate(held)]
             rows = len(held[0])
-            stop = end = int(np.searchsorted(held[0], held[0][-1])) if rows else 0
-            if rows - stop > HELD_ROWS:  # one token in very many sets: its last set so far is kept and carries the chain on
-                stop, end = rows - 1, rows
-            if not end:
-                continue
-            split = end > stop
-            if (out := work(*[x[:end] for x in held], held[0][-1] if split else going_on)) is not None:
-                yield out
-            going_on = held[0][-1] if split else None
-            held = [x[stop:] for x in held]
-        if len(held[0]) and (out := work(*held, going_on)) is not None:
-            yield out
+            end = int(np.searchsorted(held[0], held[0][-1])) if rows else 0
+            if rows - end > HELD_ROWS:  # one token in very many sets: it is wide, however many are to come
+                end, last = rows, held[0][-1]
+                yield from work(*held, last)
+                wide_token = last
+            elif end:
+                yield from work(*[x[:end] for x in held], wide_token)
+            held = [x[end:] for x in held]
+        if len(held[0]):
+            yield from work(*held, wide_token)
 
     return run
 
 
+def _candidates(tokens: DataFrame, num: int, den: int, run_pairs: int) -> DataFrame:
+    """a, b: pairs that connect all sets which may be linked. ``tokens``: token, _id, n."""
+    found = stage_table(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_pairs_of_runs(num, den, run_pairs), _PAIR), "shared")
+    wide = found.where("b is null").select("token", F.col("a").alias("_id"), F.col("na").alias("n")).distinct()
+    extra = lambda n: 2 + F.floor((3 * F.col(n) + 99) / 100)  # noqa: E731  as spare()
+    beyond = lambda n: F.least(F.lit(0), 1 + extra(n) - F.ceil(F.col(n) * num / float(den) - 1e-9))  # noqa: E731  of a start, less the set
+    many = wide.groupBy("_id", "n").agg(F.count("*").alias("w"))
+    side = lambda x: many.groupBy(F.col("_id").alias(x)).agg(F.max("w").alias(f"w{x}"))
+    counted = found.where("b is not null").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).join(side("a"), "a", "left").join(side("b"), "b", "left")
+    ell = F.ceil((F.col("na") + F.col("nb")) * num / float(num + den) - 1e-9) + F.least(beyond("na"), beyond("nb"))
+    pairs = counted.where(F.col("c") + F.least(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0))) >= ell).select("a", "b")
+    # two sets that share wide tokens only have at least ell of them each, and ell is more than the spare ones of the smaller set
+    chained = wide.join(many.where(F.col("w") > F.floor(extra("n") * num / float(den))).select("_id").distinct(), "_id")
+    beside = Window.partitionBy("token").orderBy("n", "_id")
+    links = chained.select(F.col("_id").alias("b"), "n", F.lag("_id").over(beside).alias("a"), F.lag("n").over(beside).alias("m"))
+    return pairs.unionByName(links.where(F.col("m") * den >= F.col("n") * num).select("a", "b"))
+
+
 def band(n: str, num: int, den: int):
     """Sets that may be linked are in the same or in neighbouring bands."""
     return F.floor(F.log(F.col(n).cast("double")) / float(np.log(den / num)) - 1e-9).cast("int")
@@ -358,10 +372,7 @@ def link_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
     starts = rows.where("_id is not null").mapInArrow(_prefixes(levels, num, den), "_id long, n int, k1 long, k2 long, start array<long>")
     tokens = starts.join(classes, ["_id", "k1", "k2"], "left_semi").select(F.explode("start").alias("token"), "_id", "n")
-    pairs = tokens.repartition("token").sortWithinPartitions("token", "n", "_id").mapInArrow(_pairs_of_runs(num, den, run_pairs), _PAIR)
-    both, most = F.col("na") + F.col("nb"), F.greatest("na", "nb")
-    ell = F.ceil(both * num / float(num + den) - 1e-9) - F.ceil(most * num / float(den) - 1e-9) + 1
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("chained").alias("chained")).where(F.col("chained") | (F.col("c") >= ell)).select("a", "b")
+    pairs = _candidates(tokens, num, den, run_pairs)
 
     stand = every.join(classes, ["_id", "k1", "k2"], "left_semi").groupBy("_id", "k1", "k2", "n").agg(F.first("bits").alias("items"))
     members = stage_table(stand.join(_families(components(pairs)), "_id"), "members")
