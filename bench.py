@@ -55,9 +55,12 @@ def main() -> None:
     sink = lambda df: df.write.format("noop").mode("overwrite").save()
 
     seconds: dict[str, float] = {}
+    cold: dict[str, float] = {}
     for name in HEADLINE:
         fn = REGISTRY[name][0]
+        start = time.perf_counter()
         sink(fn(spark, folder))
+        cold[name] = round(time.perf_counter() - start, 3)
         taken = []
         for _ in range(runs):
             start = time.perf_counter()
@@ -77,7 +80,9 @@ def main() -> None:
     dirty = stage_table(dirty_table(many, rows), "bench-dirty")
     start = time.perf_counter()
     renamed, _ = normalize_columns(dirty)
-    model = fit_customers(to_canonical(renamed), as_of=dt.date(2026, 1, 1), n_init=fv.RULES["n_init"])
+    # as the published job does: k is chosen on 20,000 rows (the library's default is all rows)
+    rules = fv.RULES | {"k_scan_sample": 20_000}
+    model = fit_customers(to_canonical(renamed), as_of=dt.date(2026, 1, 1), rules=rules, n_init=rules["n_init"])
     sink(model.tables["profiles"])
     seconds["clean_and_train"] = round(time.perf_counter() - start, 3)
 
@@ -91,6 +96,8 @@ def main() -> None:
                 "sf": folder.rsplit("sf", 1)[-1],
                 "rows": {t: spark.read.parquet(f"{folder}/{t}.parquet").count() for t in ("customer", "orders", "lineitem", "documents")},
                 "clean_and_train_rows": rows,
+                "clean_and_train_k_scan_sample": rules["k_scan_sample"],
+                "cold_seconds": cold,
                 "cores": int(cpus),
                 "shuffle_partitions": int(cpus),
                 "spark": spark.version,

@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 from kohort import fixed_values as fv
 
-# two exponent digits at most, so a match always casts to a finite DOUBLE
-_PLAIN_NUMBER = r"^[+-]?(?:\d{1,200}\.?\d*|\.\d+)(?:[eE][+-]?\d{1,2})?$"
+# what is beyond DOUBLE casts to an infinity, which counts as missing
+_PLAIN_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 _NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -24,7 +24,7 @@ def finite(c: Column) -> Column:
 def _parse_number(c: Column, junk: str) -> Column:
     # the extract is empty when the text is no number, and an empty string casts to NULL
     text = F.regexp_extract(F.regexp_replace(c.cast("string"), junk, ""), _PLAIN_NUMBER, 0)
-    return text.try_cast("double")
+    return finite(text.try_cast("double"))
 
 
 def to_number(c: Column, dtype: str = "string") -> Column:
@@ -66,7 +66,13 @@ def parse_date(c: Column, dtype: str = "string", iso_first: bool = False) -> Col
         layouts.sort(key=lambda f: f != "yyyy-M-d")
     tries = [F.try_to_date(text, f) for f in layouts]
     with_time = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[T ]"), text.try_cast("timestamp_ntz").cast("date"))
-    return F.coalesce(*tries, with_time)
+    # a clock time behind any layout plays no part
+    day = F.regexp_replace(text, r"[ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*([aApP][mM])?$", "")
+    more = [F.when(day.rlike(shape), F.try_to_date(day, f)) for shape, f in fv.DATE_SHAPES]
+    short = F.when(day.rlike(fv.SHORT_DATE), F.regexp_replace(day, "[.-]", "/"))
+    short = F.coalesce(*[F.try_to_date(short, f) for f in ("d/M/yy", "M/d/yy")])
+    short = F.when(F.year(short) > fv.LAST_SHORT_YEAR, F.add_months(short, -1200)).otherwise(short)
+    return F.coalesce(*tries, with_time, *more, short)
 
 
 def label_key(c: Column) -> Column:

@@ -74,7 +74,7 @@ def drop_duplicate_profiles(df: DataFrame, key: str = ID, order: str = ROW_ORDER
 
 def count_duplicates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """One row: how many rows repeat an earlier one."""
-    cols = cols or df.columns
+    cols = cols or [c for c in df.columns if c != ROW_ORDER]
     groups = df.groupBy(*cols).agg(F.count("*").alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicates"))
 

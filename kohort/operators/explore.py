@@ -81,7 +81,24 @@ def purchases_by_visits(df: DataFrame, pooled_from: int = 10) -> DataFrame:
 
 
 def spearman(df: DataFrame, cols: list[str], key: str = fv.ID) -> DataFrame:
-    """(a, b, rho) for every pair: Pearson correlation of average ranks.
+    """(a, b, rho) for every pair: Pearson correlation of the average ranks among the rows that have both values.
+
+    Columns without missing values share one ranking; a pair with gaps is ranked on its complete rows.
+    """
+    gaps = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(f"g{i}") for i, c in enumerate(cols)]).first()
+    whole = [c for i, c in enumerate(cols) if not gaps[f"g{i}"]]
+    out = _complete_spearman(df, whole) if len(whole) > 1 else None
+    for a, b in combinations(cols, 2):
+        if a not in whole or b not in whole:
+            has = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+            rows = df.filter(has(a) & has(b))
+            one = _complete_spearman(rows, [a, b])
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _complete_spearman(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``spearman`` without missing values.
 
     Ranks are computed once per distinct value and joined back on the value; a frequent value has one row on
     the rank side, and adaptive execution splits it on the row side.

@@ -118,27 +118,70 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def silhouette_values(
-    df: DataFrame, cols: list[str], label: str, key: str, sample: int = 5_000, seed: int = 42
+    df: DataFrame, cols: list[str], label: str, key: str, sample: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """(key, label, silhouette) with the Euclidean distance, on at most ``sample`` rows.
+    """(key, label, silhouette) of every row, with the squared Euclidean distance.
 
-    The sample bound is part of the metric's definition, and it bounds what is sent to the tasks: the
-    sampled matrix. Each task compares its rows with it and only keeps sums per cluster.
+    ``sample`` asks for the Euclidean distance instead, among that many rows; only these are returned then.
     """
-    return _silhouette(df, cols, {"": label}, key, sample, seed).select(
-        F.col("key").alias(key), F.col("label").alias(label), "silhouette"
-    )
+    rows = _silhouette(df, cols, {"": label}, key, sample, seed) if sample else _squared(df, cols, {"": label}, key)
+    return rows.select(F.col("key").alias(key), F.col("label").alias(label), "silhouette")
 
 
 def silhouette_by_labeling(
-    df: DataFrame, cols: list[str], labelings: dict[str, str], key: str, sample: int = 5_000, seed: int = 42
+    df: DataFrame, cols: list[str], labelings: dict[str, str], key: str, sample: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """(labeling, silhouette): the mean for several label columns, sharing one distance computation."""
-    return (
-        _silhouette(df, cols, labelings, key, sample, seed)
-        .groupBy("labeling")
-        .agg(F.avg("silhouette").alias("silhouette"))
-    )
+    """(labeling, silhouette): the mean of ``silhouette_values`` for several label columns."""
+    rows = _silhouette(df, cols, labelings, key, sample, seed) if sample else _squared(df, cols, labelings, key)
+    return rows.groupBy("labeling").agg(F.avg("silhouette").alias("silhouette"))
+
+
+def _squared(df: DataFrame, cols: list[str], labelings: dict[str, str], key: str) -> DataFrame:
+    """(labeling, key, label, silhouette): linear in the rows.
+
+    The mean squared distance from a row to a cluster follows from the cluster's size, sums and sum of squares; these are
+    one row per cluster and labeling, taken about the overall mean.
+    """
+    kinds = dict(df.dtypes)
+    first = next(iter(labelings.values()))
+    middle = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    center = np.array([middle[f"m{i}"] or 0.0 for i in range(len(cols))])
+    shifted = [F.col(c) - F.lit(float(m)) for c, m in zip(cols, center)]
+    pairs = F.array(*[F.struct(F.lit(name).alias("labeling"), F.col(c).alias("label")) for name, c in labelings.items()])
+    norms = add([s * s for s in shifted]).alias("_sq")
+    long = df.select(*[s.alias(f"s{i}") for i, s in enumerate(shifted)], norms, F.explode(pairs).alias("p"))
+    sums = long.groupBy("p.labeling", "p.label").agg(F.count("*").alias("n"), F.sum("_sq").alias("sq"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(cols))])
+    stats: dict[str, tuple] = {}
+    found = sums.collect()
+    for name in labelings:
+        mine = sorted((r for r in found if r["labeling"] == name), key=lambda r: r["label"])
+        stats[name] = (
+            np.array([r["label"] for r in mine]),
+            np.array([r["n"] for r in mine], dtype=float),
+            np.array([r["sq"] for r in mine]),
+            np.array([[r[f"s{i}"] for i in range(len(cols))] for r in mine]).reshape(len(mine), len(cols)),
+        )
+
+    def score(batches):
+        import pandas as pd
+
+        for batch in batches:
+            x = batch[cols].to_numpy(dtype=float) - center
+            own_sq = (x * x).sum(axis=1)
+            row = np.arange(len(x))
+            for name, column in labelings.items():
+                values, n, sq, total = stats[name]
+                own = np.searchsorted(values, batch[column].to_numpy())
+                mean = np.maximum(own_sq[:, None] + (sq - 2 * x @ total.T) / n, 0.0)
+                a = mean[row, own] * n[own] / np.maximum(n[own] - 1, 1)
+                mean[row, own] = np.inf
+                b = mean.min(axis=1) if len(n) > 1 else a
+                top = np.maximum(a, b)
+                s = np.where((n[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
+                yield pd.DataFrame({"labeling": name, "key": batch[key], "label": values[own], "silhouette": s})
+
+    chosen = list(dict.fromkeys([key, *cols, *labelings.values()]))
+    return df.select(*chosen).mapInPandas(score, f"labeling string, key {kinds[key]}, label {kinds[first]}, silhouette double")
 
 
 def _silhouette(df, cols, labelings, key, sample, seed):

@@ -50,7 +50,9 @@ class MedianImputer(_Learner):
     def _fit(self, df):
         cols = self.getOrDefault("cols")
         medians = fitted_medians(df, cols)
-        return MedianImputerModel(cols=cols, medians=[medians.get(c, 0.0) for c in cols])
+        if empty := [c for c in cols if medians.get(c) is None]:
+            raise ValueError(f"Columns without a single value have no median: {empty}")
+        return MedianImputerModel(cols=cols, medians=[medians[c] for c in cols])
 
 
 class MedianImputerModel(_Fitted):

@@ -9,6 +9,7 @@ from kohort import fixed_values as fv
 from kohort.operators import kmeans as km
 from kohort.operators.metrics import adjusted_rand, partition_quality, sample_rows, silhouette_by_labeling
 from kohort.operators.reshape import assemble
+from kohort.session import spread
 
 
 def find_elbow(metrics: DataFrame, k: str = "k", inertia: str = "inertia", by: list[str] | None = None) -> DataFrame:
@@ -95,10 +96,13 @@ def stability_mask(key: str, runs: int, fraction: float) -> Column:
     return out
 
 
-def scan_sample(df: DataFrame, cols: list[str], key: str, n: int, seed: int) -> DataFrame:
-    """At most ``n`` rows spread over the cores; above that size candidate k are scored on this sample."""
+def scan_rows(df: DataFrame, cols: list[str], key: str, n: int | None, seed: int) -> DataFrame:
+    """The rows on which candidate k are scored: all of them, or ``n`` picked by hash."""
+    rows = df.select(key, *cols)
+    if n is None:
+        return spread(rows)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return sample_rows(df.select(key, *cols), key, n, seed).repartition(max(1, min(cores, 64)), key)
+    return sample_rows(rows, key, n, seed).repartition(max(1, min(cores, 64)), key)
 
 
 def evaluate_k_range(
@@ -113,10 +117,10 @@ def evaluate_k_range(
 ) -> tuple[DataFrame, dict]:
     """Metric table for every candidate k, and the centres behind it.
 
-    All restarts of all k, plus all stability refits, run in the same iterations over one persisted sample.
+    All restarts of all k, plus all stability refits, run in the same iterations over the same persisted rows.
     """
     seed = rules["seed"]
-    sample = scan_sample(df, cols, key, rules["k_scan_sample"], seed)
+    sample = scan_rows(df, cols, key, rules["k_scan_sample"], seed)
     if stability_runs:
         sample = sample.withColumn("_bits", stability_mask(key, stability_runs, rules["stability_fraction"]))
     sample = sample.persist()
@@ -137,7 +141,7 @@ def evaluate_k_range(
     return table, {k: best[k].centers for k in ks}
 
 
-def score_labelings(df: DataFrame, cols: list[str], labelings: dict[int, str], key: str, sample: int = 5_000, seed: int = 42) -> DataFrame:
+def score_labelings(df: DataFrame, cols: list[str], labelings: dict[int, str], key: str, sample: int | None = None, seed: int = 42) -> DataFrame:
     """(k, inertia, silhouette, calinski_harabasz, davies_bouldin, min_segment_share) per label column."""
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("int").alias("label")) for k, c in labelings.items()])
     long = df.select(*cols, F.explode(pairs).alias("p")).select(*cols, F.col("p.k").alias("scan_k"), F.col("p.label").alias("label"))
@@ -171,7 +175,7 @@ def compare_algorithms(
 
     ``start`` gives K-Means the winning centres of an earlier scan instead of fresh restarts."""
     seed = rules["seed"]
-    sample = scan_sample(df, cols, key, rules["silhouette_sample"], seed).persist()
+    sample = scan_rows(df, cols, key, rules["k_scan_sample"], seed).persist()
     try:
         centers = km.kmeans(sample, cols, k, key, n_init, seed, start=start)
         vectors = assemble(sample, cols)

@@ -146,8 +146,11 @@ def test_metrics_against_brute_force(spark):
         b = min(dist[i][lab == c].mean() for c in set(lab) if c != lab[i])
         return (b - a) / max(a, b)
 
-    got = metrics.silhouette_values(df, list("abc"), "label", "id").toPandas().set_index("id").silhouette
+    got = metrics.silhouette_values(df, list("abc"), "label", "id", sample=5_000).toPandas().set_index("id").silhouette
     assert max(abs(got[i] - sil(i)) for i in range(400)) < 1e-9
+    dist = dist**2
+    got = metrics.silhouette_values(df, list("abc"), "label", "id").toPandas().set_index("id").silhouette
+    assert len(got) == 400 and max(abs(got[i] - sil(i)) for i in range(400)) < 1e-9
     q = metrics.partition_quality(df, list("abc"), "label").first()
     cs = {c: x[lab == c].mean(axis=0) for c in set(lab)}
     w = sum(((x[lab == c] - m) ** 2).sum() for c, m in cs.items())
@@ -186,3 +189,40 @@ def test_published_versions(spark, tmp_path):
     assert store.versions() == ["v2", "v3", "v4"] and store.live() == "v4" and store.table("t").first()[0] == "v4"
     store.reset()
     assert store.live() is None and store.status().filter("live").count() == 0
+
+
+def test_dates_and_numbers_of_many_layouts(spark):
+    day = dt.date(2013, 3, 5)
+    texts = ["5 March 2013", "Mar 5, 2013", "05-Mar-2013", "05/03/2013 10:11", "2013/3/5 10:00", "5/3/13", "20130305", "2013-03-05T10:11:12", "5.3.2013", "5-3-2013 1:02 PM", "2013-3-5"]
+    other = {"3/15/2013": dt.date(2013, 3, 15), "15/3/85": dt.date(1985, 3, 15), "31/2/2013": None, "nonsense": None, "": None, "2013": None}
+    df = spark.createDataFrame([(t, day) for t in texts] + list(other.items()), "t string, want date")
+    rows = df.select("t", "want", S.parse_date(F.col("t")).alias("got"), S.parse_date(F.col("t"), iso_first=True).alias("iso")).collect()
+    assert all(r.got == r.want and r.iso == r.want for r in rows), [r for r in rows if r.got != r.want or r.iso != r.want]
+    numbers = {"1e150": 1e150, "1E-200": 1e-200, "1e400": None, "12": 12.0, "9" * 250: float("9" * 250), "9" * 400: None}
+    rows = spark.createDataFrame(list(numbers.items()), "t string, want double").select("want", S.to_number(F.col("t")).alias("a"), S.to_number_any(F.col("t")).alias("b")).collect()
+    assert all(r.a == r.want == r.b for r in rows)
+
+
+def test_spearman_ranks_complete_pairs(spark):
+    from kohort.operators.explore import spearman
+
+    rng = np.random.default_rng(2)
+    frame = pd.DataFrame(rng.integers(0, 30, (200, 4)).astype(float), columns=list("abcd"))
+    frame["b"] += frame["a"]
+    for c in "bcd":
+        frame.loc[rng.random(200) < 0.3, c] = None
+    want = {(x, y): frame[[x, y]].dropna().rank().corr().iloc[0, 1] for x in "abcd" for y in "abcd" if x < y}
+    rows = [tuple(None if v != v else v for v in r) for r in frame.itertuples(index=False)]
+    got = {(r.a, r.b): r.rho for r in spearman(spark.createDataFrame(rows, "a double, b double, c double, d double"), list("abcd")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_silhouette_returns_every_row(spark):
+    df = spark.range(30_000).select("id", (F.col("id") % 3).alias("label"), *[((F.col("id") * p) % 101 + (F.col("id") % 3) * 40).cast("double").alias(f"x{p}") for p in (7, 13)])
+    out = metrics.silhouette_values(df, ["x7", "x13"], "label", "id")
+    assert out.count() == out.select("id").distinct().count() == 30_000
+
+
+def test_duplicates_ignore_the_row_order(spark):
+    df = spark.createDataFrame([(1, "a", 0), (1, "a", 1), (2, "a", 2)], f"x int, y string, `{fv.ROW_ORDER}` int")
+    assert dedup.count_duplicates(df).first()[0] == 1
