@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
 def feature_columns(df: DataFrame, vector: str, size: int, prefix: str = "x") -> tuple[DataFrame, list[str]]:
@@ -37,18 +37,31 @@ def centroids(df: DataFrame, cols: list[str], label: str, by: list[str] | None =
 def cluster_scatter(df: DataFrame, cols: list[str], label: str, by: list[str] | None = None) -> DataFrame:
     """One row per (by, label): size, centroid, within sum of squares and mean distance to the centroid."""
     keys = [*(by or []), label]
-    means = centroids(df, cols, label, by)
-    renamed = means.select(*[F.col(k).alias(f"_{k}") for k in keys], *[f"m_{c}" for c in cols])
-    match = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys])
-    d2 = squared_distance(cols, [f"m_{c}" for c in cols])
-    # one centroid row per (by, label): the planner broadcasts it, and shuffles if it ever is not small
-    sums = (
-        df.join(renamed, match)
-        .select(*keys, d2.alias("_d2"))
-        .groupBy(*keys)
-        .agg(F.sum("_d2").alias("within"), F.avg(F.sqrt("_d2")).alias("spread"))
-    )
-    return means.join(sums, keys)
+    means = centroids(df, cols, label, by).filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    found = means.collect()  # one row per (by, label)
+    place = {tuple(r[k] for k in keys): i for i, r in enumerate(found)}
+    centers = np.array([[r[f"m_{c}"] for c in cols] for r in found], dtype=float).reshape(len(found), len(cols))
+
+    def partial(batches):
+        import pandas as pd
+
+        within, reach, n = np.zeros(len(place)), np.zeros(len(place)), np.zeros(len(place))
+        for batch in batches:
+            at = np.array([place.get(k, -1) for k in zip(*[batch[k].tolist() for k in keys])], dtype=int)
+            d2 = ((batch[cols].to_numpy(dtype=float) - centers[at]) ** 2).sum(axis=1)
+            known = (at >= 0) & ~np.isnan(d2)
+            at, d2 = at[known], d2[known]
+            np.add.at(n, at, 1)
+            np.add.at(within, at, d2)
+            np.add.at(reach, at, np.sqrt(d2))
+        yield pd.DataFrame({"_at": range(len(place)), "_w": within, "_r": reach, "_n": n})
+
+    # tasks emit a row per cluster, whatever the size of the clusters
+    sums = df.select(*dict.fromkeys([*keys, *cols])).mapInPandas(partial, "_at int, _w double, _r double, _n double").groupBy("_at").agg(F.sum("_w").alias("within"), F.sum("_r").alias("_r"), F.sum("_n").alias("_n")).collect()
+    total = {r["_at"]: r for r in sums}
+    rows = [(*[r[k] for k in keys], r["n"], *[r[f"m_{c}"] for c in cols], total[i]["within"], total[i]["_r"] / total[i]["_n"] if total[i]["_n"] else None) for i, r in enumerate(found)]
+    schema = T.StructType([*means.schema.fields, T.StructField("within", T.DoubleType()), T.StructField("spread", T.DoubleType())])
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def inertia(df, cols, label, by=None) -> DataFrame:

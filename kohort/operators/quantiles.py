@@ -14,6 +14,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 ACCURACY = 10_000
+FEW_GROUPS = 10_000
+SALTS = 32
 
 
 def exact_quantiles(
@@ -47,7 +49,14 @@ def exact_quantiles(
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), number(c).alias("value")) for c in cols])
     numbers = df.select(*by, F.inline(pairs)).filter(F.col("value").isNotNull())
     match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    long = numbers.join(summary, match)  # one row per group and column; broadcast by the planner while small
+    # one row per group and column: broadcast while the groups are few; beyond that, rows of a group are dealt over salts
+    few = not by or df.select(*by).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    if few:
+        long = numbers.join(F.broadcast(summary), match)
+    else:
+        spread_out = summary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = numbers.withColumn("_at", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
+        long = salted.join(spread_out, match & (F.col("_at") == F.col("_salt"))).drop("_at", "_salt")
     value = F.col("value")
     at = [F.get("cut", F.lit(j)) for j in range(len(edges))]
     # fewer rows than accuracy means less than one rank per unit of sketch error, so all of such a group is ordered

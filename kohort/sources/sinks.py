@@ -40,13 +40,14 @@ def export_segment(df: DataFrame, columns: list[str], segment: int | None = None
 
 
 class PublishedTables:
-    """Model tables kept as ``version=…`` folders plus a one-row table naming the live one.
+    """Model tables kept as ``version=…`` folders, and a log of publications whose last entry names the live one.
 
-    Readers only follow the one-row table, and it is replaced after the version is complete, so they
-    see either the old or the new version.
+    An entry is one small file that is added after the version is complete, and none is ever replaced, so readers see
+    either the old or the new version. The versions published last are kept.
     """
 
     KEEP = 3
+    _ENTRY = "number long, version string"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -56,31 +57,40 @@ class PublishedTables:
     def _exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 
+    def _log(self) -> list[tuple[int, str | None]]:
+        """(number, version) of every publication, oldest first; a version of None ends publication."""
+        path = f"{self.root}/published"
+        if not self._exists(path):
+            return []
+        return sorted(((r["number"], r["version"]) for r in self.spark.read.schema(self._ENTRY).parquet(path).collect()), key=lambda e: e[0])
+
+    def _append(self, version: str | None) -> None:
+        log = self._log()
+        entry = self.spark.createDataFrame([(log[-1][0] + 1 if log else 1, version)], self._ENTRY)
+        entry.coalesce(1).write.mode("append").parquet(f"{self.root}/published")
+
     def versions(self) -> list[str]:
+        """Versions that are there, the latest published last."""
         if not self._exists(self.root):
             return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
-        return sorted(n.split("=", 1)[1] for n in names if n.startswith("version="))
+        names = {s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))}
+        at = {version: number for number, version in self._log()}
+        return sorted((n.split("=", 1)[1] for n in names if n.startswith("version=")), key=lambda v: (at.get(v, 0), v))
 
     def publish(self, version: str, tables: dict[str, DataFrame]) -> str:
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", version):
             raise ValueError("A version may hold letters, digits, '.', '_' and '-'.")
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/version={version}/{name}")
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(
-            f"{self.root}/current"
-        )
+        self._append(version)
         for old in self.versions()[: -self.KEEP]:
             if old != version:
                 self._fs.delete(self._path(f"{self.root}/version={old}"), True)
         return version
 
     def live(self) -> str | None:
-        path = f"{self.root}/current"
-        if not self._exists(path):
-            return None
-        row = self.spark.read.schema("version string").parquet(path).first()
-        return row[0] if row and row[0] in self.versions() else None
+        log = self._log()
+        return log[-1][1] if log and log[-1][1] in self.versions() else None
 
     def table(self, name: str) -> DataFrame:
         version = self.live()
@@ -89,8 +99,8 @@ class PublishedTables:
         return self.spark.read.parquet(f"{self.root}/version={version}/{name}")
 
     def reset(self) -> None:
-        if self._exists(f"{self.root}/current"):
-            self._fs.delete(self._path(f"{self.root}/current"), True)
+        if self.live() is not None:
+            self._append(None)
 
     def status(self) -> DataFrame:
         live = self.live()
