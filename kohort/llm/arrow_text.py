@@ -46,14 +46,21 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; the longest table asked for so far is kept."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
+        steps = np.full(1 << max(16, int(n - 1).bit_length()), base, dtype=np.uint64)
         steps[0] = 1
         have = np.cumprod(steps)
-        if n <= 2 * SLICE_BYTES:
+        if n <= 4 * SLICE_BYTES:
             _powers[base] = have
     return have[:n]
 
 
+def portions(batches, rows: int = 500):
+    """The batches in pieces of a few rows, for work that makes Python objects of them."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its rows; null counts as empty."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

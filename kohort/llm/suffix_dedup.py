@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from kohort.llm.arrow_text import BYTE_VALUES, mix, prefix_hash, slices, span_hash
+from kohort.llm.arrow_text import BYTE_VALUES, mix, portions, prefix_hash, slices, span_hash
 from kohort.session import stage_table
 
 SEED = 32
@@ -128,7 +128,7 @@ def _row_key(docs: DataFrame, id_column: str, text: str) -> list[Column]:
 def _find_anchors(length: int):
     def run(batches):
         for batch in batches:
-            for a, b, raw, off in slices(batch.column(2), 1 << 20):
+            for a, b, raw, off in slices(batch.column(2), 1 << 18):
                 hashes, place, rows, left, right, twin, later = anchors(raw, off, length)
                 bounds = np.searchsorted(rows, np.arange(b - a + 1)).tolist()
                 lists: list[list] = [[], [], [], []]
@@ -164,7 +164,7 @@ def _cut(length: int, make):
     w = length - SEED
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             ids, keys, texts, wanted = (batch.column(i).to_pylist() for i in range(4))
             rows: list[tuple] = []
             size = 0
@@ -299,7 +299,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id"
     full = rows.join(marks, ["_id", "_key"], "left").select("_row", "_text", "whole", "spans")
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             n_bytes, n_removed, n_spans, kept = [], [], [], []
             texts, whole, spans = (batch.column(i).to_pylist() for i in (1, 2, 3))
             for t, all_of_it, marked in zip(texts, whole, spans, strict=True):
@@ -326,7 +326,7 @@ def without_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id
     at, last = docs.columns.index(text), len(docs.columns)
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             whole = pa.array([k.decode("utf-8", "ignore") for k in batch.column(last).to_pylist()], pa.string())
             columns = batch.columns[:-1]
             columns[at] = whole
