@@ -381,7 +381,7 @@ def link_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     finer = _closed(members.drop("items"), members.select("_id", "k1", "k2", "items"), bound, tile, num, den)
     members = stage_table(members.drop("fam", "items").join(_families(finer), "_id"), "members")
     wanted = members.select("_id").distinct()
-    content = sifted(rows, wanted, ["_id"]).join(wanted, "_id").select("_id", "_text").mapInArrow(_sets, _SET)
+    content = sifted(rows, wanted, ["_id"]).join(wanted.hint("merge"), "_id").select("_id", "_text").mapInArrow(_sets, _SET)
     content = stage_table(content.join(members.select("_id", "k1", "k2"), ["_id", "k1", "k2"], "left_semi"), "contents")
     joined = _closed(members, content, exact, tile, num, den)
 
