@@ -36,12 +36,13 @@ def missing_columns(df: DataFrame, required: list[str] | None = None) -> list[st
     return [c for c in (required or fv.REQUIRED) if c not in present and c not in encoded]
 
 
-def guard_rows(df: DataFrame, min_rows: int = 150, max_rows: int = 100_000) -> int:
-    """Number of rows if within bounds; reads at most ``max_rows + 1`` of them."""
-    n = df.select(F.lit(1)).limit(max_rows + 1).count()
+def guard_rows(df: DataFrame, min_rows: int = 150, max_rows: int | None = None) -> int:
+    """Number of rows if within bounds; with a maximum, reads at most one row more than it."""
+    rows = df.select(F.lit(1))
+    n = rows.count() if max_rows is None else rows.limit(max_rows + 1).count()
     if n == 0:
         raise UnreadableTable("The file contains no rows.")
-    if n > max_rows:
+    if max_rows is not None and n > max_rows:
         raise UnreadableTable(f"The file has more than {max_rows:,} rows.")
     if n < min_rows:
         raise UnreadableTable(f"At least {min_rows} rows are needed.")
