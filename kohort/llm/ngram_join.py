@@ -110,18 +110,21 @@ def _add_cells(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) ->
         for c in batch.column(batch.schema.get_field_index("bits")).to_pylist():
             part = np.frombuffer(zlib.decompress(c), dtype=np.int32).astype(np.int64)
             total = part if total is None else total + part
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["chunk", "cells"])
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([int(total.sum())], pa.int64()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["chunk", "total", "cells"])
 
 
 def _levels(measured: DataFrame) -> np.ndarray:
     """For each counter 0, or 1 + log2 of its count where that stands out. Always ``CELLS`` bytes."""
-    cells = np.zeros(CELLS, dtype=np.int64).reshape(CHUNKS, -1)
-    for row in measured.where("chunk is not null").select("chunk", "bits").groupBy("chunk").applyInArrow(_add_cells, "chunk int, cells binary").collect():
-        cells[row.chunk] = np.frombuffer(zlib.decompress(row.cells), dtype=np.int64)
-    flat = cells.ravel()
-    mean = flat.mean()
-    high = flat > mean + 6 * np.sqrt(mean + 1) + 4
-    return np.where(high, 1 + np.log2(np.maximum(flat, 1)).astype(np.int64), 0).astype(np.uint8)
+    added = measured.where("chunk is not null").select("chunk", "bits").groupBy("chunk").applyInArrow(_add_cells, "chunk int, total long, cells binary")
+    rows = added.collect()  # CHUNKS rows of a fixed size
+    mean = sum(r.total for r in rows) / CELLS
+    out = np.zeros(CELLS, dtype=np.uint8)
+    size = CELLS // CHUNKS
+    for r in rows:
+        cells = np.frombuffer(zlib.decompress(r.cells), dtype=np.int64)
+        high = cells > mean + 6 * np.sqrt(mean + 1) + 4
+        out[r.chunk * size : (r.chunk + 1) * size][high] = 1 + np.log2(cells[high]).astype(np.uint8)
+    return out
 
 
 def spare(n):
