@@ -19,6 +19,8 @@ are judged alike; rows with a null id are judged too; empty tables give no rows.
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -72,22 +74,19 @@ def buckets(windows: np.ndarray, walks: int = WALKS, tables: int = TABLES, seed:
 
 
 def best_span(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
-    """(edits, start, end) of the run of ``region`` nearest to ``item``; the first of equals."""
-    cost, begin = [0] * (len(region) + 1), list(range(len(region) + 1))
-    region = region.tolist()
-    for i, w in enumerate(item.tolist(), start=1):
-        new, from_ = [i], [0]
-        for j, v in enumerate(region, start=1):
-            best, b = cost[j - 1] + (v != w), begin[j - 1]
-            if cost[j] + 1 < best:
-                best, b = cost[j] + 1, begin[j]
-            if new[j - 1] + 1 < best:
-                best, b = new[j - 1] + 1, from_[j - 1]
-            new.append(best)
-            from_.append(b)
-        cost, begin = new, from_
-    end = min(range(len(cost)), key=lambda j: (cost[j], j))
-    return cost[end], begin[end], end
+    """(edits, start, end) of the run of ``region`` nearest to ``item``; the first of equals.
+
+    A cell of the usual table holds edits * 2**32 + start, so that one minimum decides both.
+    """
+    one = 1 << 32
+    cell = np.arange(len(region) + 1, dtype=np.int64)
+    steps = np.arange(len(region) + 1, dtype=np.int64) * one
+    for w in item:
+        new = cell + one
+        new[1:] = np.minimum(new[1:], cell[:-1] + one * (region != w))
+        cell = np.minimum.accumulate(new - steps) + steps
+    end = int(np.argmin(cell >> 32))
+    return int(cell[end] >> 32), int(cell[end] & (one - 1)), end
 
 
 class Items:
@@ -155,6 +154,7 @@ class Items:
         """{(row, place of the item in the block): (edits, start word, end word)}, the best of each."""
         hashes, first = word_hashes(raw, off)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        near: dict[tuple[int, int], list[int]] = {}
         for n, spots in self.windows(hashes, first).items():
             padded = np.concatenate((hashes, np.full(1, _PAD)))
             keys, who = self.index[n]
@@ -165,14 +165,19 @@ class Items:
                 table = buckets(padded[np.where(outside, len(hashes), at)], self.walks, self.tables)
                 a, b = np.searchsorted(keys, table, "left"), np.searchsorted(keys, table, "right")
                 pairs = {(int(w), int(x)) for w, c in zip(*np.nonzero(b > a), strict=True) for x in who[a[w, c] : b[w, c]]}
-                for w, x in sorted(pairs):
+                for w, x in pairs:
                     row, start = some[w].tolist()
-                    e = int(self.edits[x])
-                    lo, hi = max(int(first[row]), start - 2 * e), min(int(first[row + 1]), start + n + 2 * e)
-                    cost, begin, end = best_span(self.words[x], hashes[lo:hi])
-                    if cost <= e:
-                        here = (cost, lo + begin - int(first[row]), lo + end - int(first[row]))
-                        best[row, x] = min(best.get((row, x), here), here)
+                    near.setdefault((row, x), []).append(start)
+        for (row, x), starts in near.items():
+            n, e = int(self.size[x]), int(self.edits[x])
+            starts.sort()
+            cuts = [0, *[i for i in range(1, len(starts)) if starts[i] - starts[i - 1] > n], len(starts)]
+            for a, b in pairwise(cuts):  # windows that overlap are verified together
+                lo, hi = max(int(first[row]), starts[a] - 2 * e), min(int(first[row + 1]), starts[b - 1] + n + 2 * e)
+                cost, begin, end = best_span(self.words[x], hashes[lo:hi])
+                if cost <= e:
+                    here = (cost, lo + begin - int(first[row]), lo + end - int(first[row]))
+                    best[row, x] = min(best.get((row, x), here), here)
         return best
 
 
