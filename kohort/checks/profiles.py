@@ -140,7 +140,7 @@ def proxy_check(spark, folder):
 
 def _detail_sql():
     parts = ["SELECT Segment, 'Share of customers' AS label, count(*) / (SELECT count(*) FROM seg) AS value, NULL::DOUBLE AS baseline FROM seg GROUP BY Segment"]
-    for label, (kind, c) in P.DETAIL.items():
+    for label, (kind, c) in fv.DETAIL_METRICS.items():
         f = "median" if kind == "median" else "avg"
         parts.append(f"SELECT Segment, '{label}', {f}({c}), (SELECT {f}({c}) FROM seg) FROM seg GROUP BY Segment")
     return " UNION ALL ".join(parts)

@@ -70,7 +70,7 @@ def drop_spend_without_purchase(df: DataFrame) -> DataFrame:
 def segment_in(df: DataFrame, wanted: list[int], ids: list[int]) -> DataFrame:
     unknown = [s for s in wanted if s not in ids]
     if unknown:
-        raise BadRequest(f"Unknown segment id(s): {unknown}")
+        raise BadRequest(fv.ERROR_SEGMENTS.format(unknown))
     return df.filter(F.col("Segment").isin(sorted(set(wanted)))) if wanted else df
 
 
@@ -78,21 +78,21 @@ def comparison(df: DataFrame, field: str, op: str, value) -> Column:
     """One condition. Numeric fields take all operators, text only equality; a missing number passes ``!=`` only."""
     kinds = dict(df.dtypes)
     if field not in kinds:
-        raise BadRequest(f"Unknown field '{field}'.")
+        raise BadRequest(fv.ERROR_FIELD.format(field))
     if op not in COMPARE and op != "!=":
-        raise BadRequest(f"Unsupported operator '{op}'.")
+        raise BadRequest(fv.ERROR_OPERATOR.format(op))
     if is_numeric(kinds[field]):
         try:
             number = float(value)
         except (TypeError, ValueError):
-            raise BadRequest(f"'{field}' needs a numeric value.") from None
+            raise BadRequest(fv.ERROR_NUMBER.format(field)) from None
         if field in fv.RATIO_FIELDS and number > 1:
             number /= 100
         if op == "!=":
             return F.coalesce(F.col(field) != number, F.lit(True))
         return known(COMPARE[op](F.col(field), F.lit(number)))
     if op not in ("==", "!="):
-        raise BadRequest(f"'{field}' only supports equals / not equals.")
+        raise BadRequest(fv.ERROR_TEXT.format(field))
     same = known(F.lower(F.col(field).cast("string")) == str(value).lower())
     return same if op == "==" else ~same
 
@@ -113,9 +113,9 @@ def record_warnings() -> Column:
     purchases = row_sum([F.col(c) for c in fv.CHANNELS])
     return F.array_compact(
         F.array(
-            F.when(spend_without_purchase(), "Spend was entered with zero purchases; the record is inconsistent."),
-            F.when(F.col("NumDealsPurchases") > purchases, "Deal purchases exceed total purchases and were capped."),
-            F.when(F.col("Income").isNull(), "Income is missing and was imputed with the training median."),
+            F.when(spend_without_purchase(), fv.WARN_SPEND),
+            F.when(F.col("NumDealsPurchases") > purchases, fv.WARN_DEALS),
+            F.when(F.col("Income").isNull(), fv.WARN_INCOME),
         )
     )
 

@@ -11,6 +11,8 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from kohort.operators.sampling import first_by_hash
+
 
 def feature_columns(df: DataFrame, vector: str, size: int, prefix: str = "x") -> tuple[DataFrame, list[str]]:
     """Spread an array column into DOUBLE columns (cast first: FLOAT subtraction would lose digits)."""
@@ -126,8 +128,8 @@ def davies_bouldin_from(scatter: DataFrame, means: list[str], label: str, by: li
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """A repeatable random sample: the ``n`` rows with the smallest hashes (top-n per task, no full sort)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """A repeatable random sample: the ``n`` rows with the smallest hashes."""
+    return first_by_hash(df, n, F.xxhash64(F.col(key), F.lit(seed)), key)
 
 
 def silhouette_values(

@@ -156,35 +156,27 @@ def clean_customers(raw: DataFrame, as_of: dt.date | None = None, rules: dict =
 
     steps = []
 
-    def log(step, rows, detail=""):
+    def log(wording, rows, *found):
         last = steps[-1][3] if steps else before["rows"]
-        steps.append((len(steps) + 1, step, last, rows, last - rows, detail))
-
-    log("Drop constant columns", before["rows"], f"Removed zero-information columns: {dropped}")
-    log(
-        "Standardise numbers and yes/no flags",
-        before["rows"],
-        f"{before['converted'] or 0} text values converted; {before['cleared'] or 0} unreadable, negative or "
-        "out-of-range values cleared for imputation",
-    )
-    log("Drop blank or mostly empty rows", n["not_blank"], f"More than {rules['max_missing_share']:.0%} of required fields missing")
-    log("Drop exact duplicate rows", n["exact"])
-    log("Drop duplicate customer IDs", n["ids"], f"{n['no_id']} missing IDs assigned" if n["no_id"] else "")
-    log("Harmonise categories", n["ids"], f"{n['respelled']} spelling variants standardised")
-    log("Drop duplicate profiles with different IDs", n["profiles"], "Identical attributes under another ID")
-    log("Clear future enrolment dates", n["profiles"], f"{n['future']} dates after {as_of} cleared for imputation")
+        step, detail = wording
+        steps.append((len(steps) + 1, step, last, rows, last - rows, detail.format(*found)))
+
+    log(fv.STEP_CONSTANT, before["rows"], dropped)
+    log(fv.STEP_NUMBERS, before["rows"], before["converted"] or 0, before["cleared"] or 0)
+    log(fv.STEP_BLANK, n["not_blank"], rules["max_missing_share"])
+    log(fv.STEP_EXACT, n["exact"])
+    log(fv.STEP_IDS if n["no_id"] else (fv.STEP_IDS[0], ""), n["ids"], n["no_id"])
+    log(fv.STEP_CATEGORIES, n["ids"], n["respelled"])
+    log(fv.STEP_PROFILES, n["profiles"])
+    log(fv.STEP_FUTURE, n["profiles"], n["future"], as_of)
     after = n["profiles"] - m["born"]
-    log("Remove implausible birth years", after, f"Year_Birth < {rules['min_birth_year']} or > {latest_year - rules['min_customer_age']}")
-    log("Remove data-entry income outliers", after - m["income"], f"Income > {rules['max_income']:,.0f}")
-    after -= m["income"] + m["spend"]
-    log("Remove spend recorded with zero purchases", after, "Logically inconsistent transactions")
-    log("Cap deal purchases at total purchases", after, f"{m['capped']} records capped")
-    log(
-        "Impute missing values",
-        after,
-        f"Income by education median: {m['no_income']}; enrolment date median: {m['no_date']}; "
-        f"other numeric median: {m['no_other']}",
-    )
+    log(fv.STEP_BIRTH, after, rules["min_birth_year"], latest_year - rules["min_customer_age"])
+    after -= m["income"]
+    log(fv.STEP_INCOME, after, rules["max_income"])
+    after -= m["spend"]
+    log(fv.STEP_SPEND, after)
+    log(fv.STEP_DEALS, after, m["capped"])
+    log(fv.STEP_IMPUTE, after, m["no_income"], m["no_date"], m["no_other"])
     return Cleaned(customers, raw.sparkSession.createDataFrame(steps, AUDIT_SCHEMA))
 
 
