@@ -47,7 +47,10 @@ def gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of all spans, one after another."""
     ends = np.cumsum(counts)
     total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - counts), counts)
+    kind = np.int32 if total < 1 << 31 and (not len(starts) or int(starts.max()) < 1 << 30) else np.int64
+    out = np.repeat((starts - (ends - counts)).astype(kind), counts)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class PieceTable:
