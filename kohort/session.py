@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folders: dict[str, str] = {}
+_own_folders: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def build_session(app: str = "kohort", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -32,7 +32,7 @@ def build_session(app: str = "kohort", master: str | None = None, shuffle_partit
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a folder of its own.
+    Only a local-mode session without that setting gets a folder of its own, which goes with the process.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -41,8 +41,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
     if sc.applicationId not in _own_folders:
-        _own_folders[sc.applicationId] = tempfile.mkdtemp(prefix="kohort-shared-")
-    return _own_folders[sc.applicationId]
+        _own_folders[sc.applicationId] = tempfile.TemporaryDirectory(prefix="kohort-shared-", ignore_cleanup_errors=True)
+    return _own_folders[sc.applicationId].name
 
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:
