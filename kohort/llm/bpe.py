@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from kohort.llm.arrow_text import slices
 from kohort.llm.pieces import SLICE, PieceTable, gather
 
-MAX_STEPS = 100_000
+MAX_STEPS = 80_000
 _ROOT = 0
 
 
@@ -202,9 +202,10 @@ class Codec:
         self.size = np.array([len(t) for t in self.table], dtype=np.int64)
         self.place = np.cumsum(self.size) - self.size
         shown = [b"%d " % i for i in range(len(self.table))]
-        self.digits = np.frombuffer(b"".join(shown), dtype=np.uint8)
         self.digit_size = np.array([len(t) for t in shown], dtype=np.int64)
-        self.digit_place = np.cumsum(self.digit_size) - self.digit_size
+        wide = int(self.digit_size.max(initial=1))
+        self.digits = np.frombuffer(b"".join(t.ljust(wide) for t in shown), dtype=np.uint8).reshape(-1, wide)
+        self.digit_used = np.arange(wide) < self.digit_size[:, None]
         self.turns: dict[tuple[bytes, int], tuple[bytes, bytes]] = {}
 
     @staticmethod
@@ -215,7 +216,7 @@ class Codec:
             return False
         return Utf8Machine().feed(token) == token
 
-    def _pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         find, cut = self.pattern.findall, []
         for piece in pieces:
             text = piece.decode("utf-8", "surrogatepass")
@@ -223,7 +224,11 @@ class Codec:
             cut.append((piece,) if body.isalpha() else tuple(m.encode("utf-8", "surrogatepass") for m in find(text)))
         distinct = sorted({m for ms in cut for m in ms})
         known = dict(zip(distinct, self.fst.encode_sorted(distinct), strict=True))
-        return [np.array(known[ms[0]] if len(ms) == 1 else [i for m in ms for i in known[m]], dtype=np.int32) for ms in cut]
+        got = [known[m] for ms in cut for m in ms]
+        matches = np.fromiter(map(len, cut), np.int64, len(cut))
+        sizes = np.concatenate(([0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))))
+        ends = np.cumsum(matches)
+        return np.fromiter(chain.from_iterable(got), np.int32, int(sizes[-1])), sizes[ends] - sizes[ends - matches]
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and each row's number of ids."""
@@ -231,7 +236,7 @@ class Codec:
 
     def shown(self, ids: np.ndarray) -> np.ndarray:
         """Decimal numbers, each followed by a space, as bytes; the sizes are ``digit_size[ids]``."""
-        return self.digits[gather(self.digit_place[ids], self.digit_size[ids])]
+        return self.digits[ids][self.digit_used[ids]]
 
     def decode(self, ids: np.ndarray) -> Iterator[bytes]:
         """Whole characters, in portions."""

@@ -14,8 +14,8 @@ import numpy as np
 
 from kohort.llm.arrow_text import prefix_hash, span_hash
 
-MAX_ENTRIES = 1_500_000
-SLICE = 4 << 20
+MAX_ENTRIES = 1_000_000
+SLICE = 2 << 20
 #: Bytes that are surely no white space: printable ASCII.
 _SOLID = np.zeros(256, dtype=bool)
 _SOLID[0x21:0x7F] = True
@@ -54,7 +54,9 @@ def gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class PieceTable:
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], limit: int = MAX_ENTRIES):
+    """``encode`` takes pieces and gives all their ids one after another, and each piece's number of ids."""
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = MAX_ENTRIES):
         self.encode, self.limit = encode, limit
         self.keys = np.zeros(0, np.uint64)
         self.start = np.zeros(0, np.int64)
@@ -75,25 +77,24 @@ class PieceTable:
         new = np.flatnonzero(~known)
         if len(new):
             whole = raw.tobytes()
-            made = self.encode([whole[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
-            self._add(keys, known, place, keys[new], made)
+            ids, count = self.encode([whole[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+            self._add(keys, known, place, keys[new], ids, count)
             place = np.searchsorted(self.keys, keys)
         counts = self.count[place][inverse]
         ids = self.flat[gather(self.start[place][inverse], counts)]
         sums = np.concatenate(([0], np.cumsum(counts)))
         return ids, np.diff(sums[first])
 
-    def _add(self, keys, known, place, new, made) -> None:
+    def _add(self, keys, known, place, new, ids, count) -> None:
         if len(self.keys) + len(new) > self.limit:  # keep what this slice has
             keep = place[known]
             self.flat = self.flat[gather(self.start[keep], self.count[keep])]
             self.count = self.count[keep]
             self.start = np.cumsum(self.count) - self.count
             self.keys = keys[known]
-        count = np.fromiter(map(len, made), np.int64, len(made))
         start = np.cumsum(count) - count + len(self.flat)
         spot = np.searchsorted(self.keys, new)
         self.keys = np.insert(self.keys, spot, new)
         self.start = np.insert(self.start, spot, start)
         self.count = np.insert(self.count, spot, count)
-        self.flat = np.concatenate([self.flat, *made]) if made else self.flat
+        self.flat = np.concatenate([self.flat, ids])

@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -43,12 +44,13 @@ def piece_table(tokenizer_path: str) -> PieceTable:
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
 
-        def encode(pieces: list[bytes]) -> list[np.ndarray]:
+        def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             out = []
             for k in range(0, len(pieces), 8192):
                 got = tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in pieces[k : k + 8192]], add_special_tokens=False)
-                out += [np.array(e.ids, dtype=np.int32) for e in got]
-            return out
+                out += [e.ids for e in got]
+            sizes = np.fromiter(map(len, out), np.int64, len(out))
+            return np.fromiter(chain.from_iterable(out), np.int32, int(sizes.sum())), sizes
 
         _tables.clear()
         _tables[tokenizer_path] = PieceTable(encode)
