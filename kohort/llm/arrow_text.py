@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: An odd base and its inverse modulo 2**64, for hashes of byte strings by differences of prefix sums.
 _BASE = 0x5851F42D4C957F2D | 3

@@ -15,7 +15,7 @@ import numpy as np
 from kohort.llm.arrow_text import prefix_hash, span_hash
 
 MAX_ENTRIES = 1_000_000
-SLICE = 2 << 20
+SLICE = 1 << 19
 #: Bytes that are surely no white space: printable ASCII.
 _SOLID = np.zeros(256, dtype=bool)
 _SOLID[0x21:0x7F] = True
