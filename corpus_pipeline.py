@@ -46,9 +46,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every text."""
+    """Byte-level BPE ids of every text. The tables are small, as the workers keep what the stages before left in them."""
     files = importlib.import_module("public_tokenizers")
-    return encode_texts(docs, files.path("byte_bpe_50k.tiktoken"), files.PATTERN, keep=["doc_id", "lang", "source"])
+    return encode_texts(docs, files.path("byte_bpe_50k.tiktoken"), files.PATTERN, keep=["doc_id", "lang", "source"], max_states=20_000, max_pieces=250_000)
 
 
 STAGES = [

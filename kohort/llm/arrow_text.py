@@ -54,6 +54,13 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def small_batches(spark, rows: int = 1000) -> None:
+    """Send at most ``rows`` rows at a time to Python in this session: rows with whole texts are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))
+
+
 def portions(batches, rows: int = 500):
     """The batches in pieces of a few rows, for work that makes Python objects of them."""
     for batch in batches:

@@ -25,8 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from kohort.llm.arrow_text import slices
-from kohort.llm.pieces import SLICE, PieceTable, gather
+from kohort.llm.arrow_text import slices, small_batches
+from kohort.llm.pieces import MAX_ENTRIES, SLICE, PieceTable, gather
 
 MAX_STEPS = 80_000
 _ROOT = 0
@@ -41,7 +41,8 @@ def read_ranks(path: str) -> bytes:
 class Transducer:
     """Bytes in, token ids out; see the module's text."""
 
-    def __init__(self, rank_file: bytes):
+    def __init__(self, rank_file: bytes, max_states: int | None = None):
+        self.max_states = max_states or MAX_STEPS
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line.strip())}
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.child: dict[int, int] = {}
@@ -75,7 +76,7 @@ class Transducer:
         if known is None:
             a = self.bytes_of[left] if left >= 0 else b""
             known = self._keeps(a, self.bytes_of[right])
-            if len(self.follows) >= MAX_STEPS:
+            if len(self.follows) >= self.max_states:
                 self.follows.clear()
             self.follows[left, right] = known
         return known
@@ -117,7 +118,7 @@ class Transducer:
                 k += 1
             shared = shared[:k]
         target = tuple((n, t, p[len(shared) :]) for n, t, p in alive)
-        if len(self.states) >= MAX_STEPS:
+        if len(self.states) >= self.max_states:
             self._empty()
         number = self.number.get(target)
         if number is None:
@@ -191,10 +192,10 @@ class Utf8Machine:
 class Codec:
     """Texts to ids and back, with bounded tables of what was met before."""
 
-    def __init__(self, rank_file: bytes, pattern: str):
-        self.fst = Transducer(rank_file)
+    def __init__(self, rank_file: bytes, pattern: str, max_states: int | None = None, max_pieces: int | None = None):
+        self.fst = Transducer(rank_file, max_states)
         self.pattern = regex.compile(pattern)
-        self.pieces = PieceTable(self._pieces)
+        self.pieces = PieceTable(self._pieces, max_pieces or MAX_ENTRIES)
         vocabulary = self.fst.bytes_of
         self.table = [vocabulary.get(i, b"") for i in range(max(vocabulary, default=0) + 1)]
         self.whole = np.array([self._is_whole(t) for t in self.table], dtype=bool)
@@ -263,26 +264,28 @@ class Codec:
 _codecs: dict[bytes, Codec] = {}
 
 
-def codec(rank_file: bytes, pattern: str) -> Codec:
+def codec(rank_file: bytes, pattern: str, max_states: int | None = None, max_pieces: int | None = None) -> Codec:
     """One codec per worker, kept between tasks."""
-    key = hashlib.sha256(rank_file + pattern.encode()).digest()
+    key = hashlib.sha256(rank_file + pattern.encode() + b"%d %d" % (max_states or 0, max_pieces or 0)).digest()
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(rank_file, pattern)
+        _codecs[key] = Codec(rank_file, pattern, max_states, max_pieces)
     return _codecs[key]
 
 
-def encode_texts(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", out: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
+def encode_texts(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", out: str = "token_ids", keep: list[str] | None = None, max_states: int | None = None, max_pieces: int | None = None) -> DataFrame:
     """``keep`` (all columns) plus ``out``, the ids as array<int>, and ``n_tokens``. No shuffle; row by row.
 
-    A null or empty text gives no ids; columns of the same names as the new ones are replaced.
+    A null or empty text gives no ids; columns of the same names as the new ones are replaced. ``max_states`` and
+    ``max_pieces`` bound the tables of a worker: smaller ones take less memory and more time, and give the same ids.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (out, "n_tokens")]
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
 
     def run(batches):
-        coder = codec(ranks.value, pattern)
+        coder = codec(ranks.value, pattern, max_states, max_pieces)
         for batch in batches:
             for a, b, raw, off in slices(batch.column(batch.num_columns - 1), SLICE):
                 ids, counts = coder.encode(raw, off)
@@ -300,6 +303,7 @@ def round_trip_digests(docs: DataFrame, rank_path: str, pattern: str, id_column:
     Null and empty texts have 0 tokens and the hash of nothing; a null id stays null; repeated rows stay repeated; an
     empty table gives an empty one; other columns play no part.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
 

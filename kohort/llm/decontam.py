@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kohort.llm.arrow_text import FOLDED_VALUES, mix, prefix_hash, runs_hash, slices, span_hash, words
+from kohort.llm.arrow_text import FOLDED_VALUES, mix, prefix_hash, runs_hash, slices, small_batches, span_hash, words
 
 RATE = 0.2
 LEAST_WORDS = 5
@@ -183,6 +183,7 @@ class Items:
 
 def blocks(benchmark: DataFrame, rate: float, least_words: int, walks: int, tables: int, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES):
     """The items in broadcast blocks of bounded size, one after another."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).distinct()
     size = items.agg(F.sum(F.octet_length("t") + 16).alias("s")).first().s or 0
     parts = max(1, -(-int(size) // block_bytes))

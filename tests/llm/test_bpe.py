@@ -56,9 +56,8 @@ def test_decoding_gives_the_text_back(ours, theirs):
             portion.decode()  # whole characters only
 
 
-def test_states_are_made_again_after_the_table_was_emptied(monkeypatch, theirs):
-    monkeypatch.setattr(bpe, "MAX_STEPS", 40)
-    fst = bpe.Transducer(bpe.read_ranks(PATH))
+def test_states_are_made_again_after_the_table_was_emptied():
+    fst = bpe.Transducer(bpe.read_ranks(PATH), max_states=40)
     words = sorted({w.strip().encode() for w in texts(3, 400)} | {b"hello", b"helloworld", b"help"} - {b""})
     got = list(fst.encode_sorted(words))
     assert fst.emptied > 2
