@@ -101,3 +101,16 @@ def test_held_out_accuracy(spark):
     kept = {r.quality: r["avg(k)"] for r in out.selectExpr("quality", "cast(keep as int) as k").groupBy("quality").avg("k").collect()}
     assert kept[1] > 0.98
     assert kept[0] < 0.3
+
+
+def test_toxic_low_quality_and_clean_rows_held_out(spark):
+    """Fitted on the labels of even ids, each class of the odd ids judged by itself."""
+    from kohort.llm.queries import table
+
+    folder = "/root/testdata/sf0.1"
+    labels = table(spark, folder, "labels")
+    out = classify(table(spark, folder, "documents"), labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id")
+    share = out.selectExpr("avg(if(quality = 1 and toxic = 0, int(keep), null)) clean", "avg(if(toxic = 1, int(keep), null)) toxic", "avg(if(quality = 0 and toxic = 0, int(keep), null)) low").first()
+    assert share.clean > 0.97
+    assert share.toxic < 0.5
+    assert share.low < 0.1
