@@ -48,8 +48,8 @@ def _numeric_view(df, c, kinds):
     return finite(F.col(f"`{c}`").try_cast("double")) if kinds[c] not in ("date", "timestamp", "timestamp_ntz") else F.lit(None).cast("double")
 
 
-def table_profile(df: DataFrame, max_columns: int = 40) -> DataFrame:
-    """(column, missing, distinct, type, mean, min, max, top) for any table."""
+def table_profile(df: DataFrame, max_columns: int | None = None) -> DataFrame:
+    """(column, missing, distinct, type, mean, min, max, top) for any table; ``top`` shows 40 characters of a value."""
     kinds = dict(df.dtypes)
     cols = [c for c in df.columns if not kinds[c].startswith(("array", "map", "struct"))][:max_columns]
     n = F.count("*")
@@ -71,11 +71,10 @@ def table_profile(df: DataFrame, max_columns: int = 40) -> DataFrame:
     stats = wide.select(F.inline(F.array(*[f"c{i}" for i in range(len(cols))])))
     counts = value_counts(df, cols)
     distinct = counts.groupBy("column").agg(F.count("*").alias("distinct"))
-    short = counts.groupBy("column", F.substring("value", 1, 40).alias("value")).agg(F.sum("n").alias("n"))
     listed = (
-        top_values(short, 4, ["column"])
+        top_values(counts, 4, ["column"])
         .groupBy("column")
-        .agg(F.array_sort(F.collect_list(F.struct("position", F.format_string("%s (%d)", "value", "n").alias("text")))).alias("t"))
+        .agg(F.array_sort(F.collect_list(F.struct("position", F.format_string("%s (%d)", F.substring("value", 1, 40), F.col("n")).alias("text")))).alias("t"))
         .select("column", F.array_join(F.transform("t", lambda s: s["text"]), ", ").alias("top"))
     )
     number = (F.col("parsed") >= 0.9 * F.col("present")) & (F.col("parsed") >= 1)
@@ -158,7 +157,7 @@ def text_column_stats(df: DataFrame, column: str, segment: str = "Segment_Name",
         df.filter(F.col(c).isNotNull())
         .groupingSets([[F.col(c)], [F.col(segment), F.col(c)]], F.col(segment), F.col(c))
         .agg(F.count("*").alias("n"))
-        .select(segment, F.substring(F.col(c).cast("string"), 1, 40).alias("value"), "n")
+        .select(segment, F.col(c).cast("string").alias("value"), "n")
     )
     return top_values(counts, k, [segment]).select(segment, "value", "n")
 

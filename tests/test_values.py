@@ -226,3 +226,24 @@ def test_silhouette_returns_every_row(spark):
 def test_duplicates_ignore_the_row_order(spark):
     df = spark.createDataFrame([(1, "a", 0), (1, "a", 1), (2, "a", 2)], f"x int, y string, `{fv.ROW_ORDER}` int")
     assert dedup.count_duplicates(df).first()[0] == 1
+
+
+def test_profiles_rank_whole_values_and_all_columns(spark):
+    from kohort.operators.quality import table_profile, text_column_stats
+
+    start = "https://example.org/" + "a" * 30
+    values = [f"{start}/{i}" for i in range(5)] + ["short"] * 3
+    df = spark.createDataFrame([(v, "s") for v in values], "url string, Segment_Name string")
+    assert {r["column"]: r.top for r in table_profile(df).collect()}["url"].startswith("short (3), ")
+    rows = text_column_stats(df, "url").where("Segment_Name is null").collect()
+    assert len(rows) == len({r.value for r in rows}) == 6
+    wide = spark.range(2).select(*[(F.col("id") + i).alias(f"c{i}") for i in range(60)])
+    assert table_profile(wide).count() == 60
+
+
+def test_dates_are_decided_by_all_rows(spark):
+    from kohort.operators.anytable import plan_columns
+
+    rows = [(i, "unknown" if i < 200 else f"20{10 + i % 10}-0{1 + i % 9}-1{i % 10}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "_row_order long, moment string").withColumnRenamed("_row_order", fv.ROW_ORDER)
+    assert [c.kind for c in plan_columns(df)] == ["date"]
