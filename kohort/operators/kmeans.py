@@ -2,11 +2,13 @@
 
 Every Lloyd iteration is one Spark job for all runs that have not converged: each task assigns its rows to
 the centres of every run and emits only sums per (run, cluster), so twenty restarts cost the scans of one.
-The driver holds the centres, never the rows; seeding uses a sample of fixed size.
+The driver holds the centres, never the rows. Seeding is k-means|| over all rows: a few scans draw candidates by squared distance
+from those drawn before, one more counts the rows nearest to each, and k-means++ runs on the weighted candidates.
 """
 
 from __future__ import annotations
 
+import itertools
 import sys
 from dataclasses import dataclass, field
 
@@ -20,7 +22,9 @@ from kohort.session import spread, task_count
 # task functions travel with the job, so executors need numpy and pandas but not this package
 register_pickle_by_value(sys.modules[__name__])
 
-SEEDING_ROWS = 2_000
+SEEDING_ROWS = 2_000  # tables with fewer rows are seeded from all of them
+ROUND_ROWS = 256
+ROUNDS = 4
 DIRECT_TASKS = 64
 
 
@@ -44,17 +48,86 @@ def seeding_sample(df: DataFrame, cols: list[str], key: str, mask: str | None, s
     return rows[cols].to_numpy(dtype=float), bits
 
 
-def plus_plus(points: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ seeding: each next centre is the best of a few draws proportional to squared distance."""
+def _gaps(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of every row and the squared distance to it, in blocks of rows."""
+    label, gap = np.empty(len(x), dtype=np.int64), np.empty(len(x))
+    for a in range(0, len(x), 1_000):
+        part = x[a : a + 1_000]
+        near = label[a : a + 1_000] = _labels(part, centers)
+        gap[a : a + 1_000] = ((part - centers[near]) ** 2).sum(axis=1)
+    return label, gap
+
+
+def _draw(candidates: np.ndarray, cols: list[str], n: int):
+    """Function for ``mapInPandas``: of each task the n rows that lead a draw by squared distance, without replacement."""
+
+    def run(batches):
+        import pandas as pd
+
+        best = None
+        for batch in batches:
+            _, gap = _gaps(batch[cols].to_numpy(dtype=float), candidates)
+            u = (batch["_u"].to_numpy() + 0.5) / (1 << 30)
+            with np.errstate(divide="ignore"):
+                batch = batch[cols].assign(_score=-np.log(u) / gap)[gap > 0]
+            best = (batch if best is None else pd.concat([best, batch])).nsmallest(n, "_score")
+        if best is not None:
+            yield best
+
+    return run
+
+
+def _weigh(candidates: np.ndarray, cols: list[str], mask: str | None, members: list[int | None]):
+    """Function for ``mapInPandas``: rows nearest to each candidate, of all and of each member."""
+
+    def run(batches):
+        import pandas as pd
+
+        total = np.zeros((len(members), len(candidates)))
+        for batch in batches:
+            near, _ = _gaps(batch[cols].to_numpy(dtype=float), candidates)
+            bits = batch[mask].to_numpy(dtype=np.int64) if mask else None
+            for m, member in enumerate(members):
+                mine = near if member is None else near[(bits >> member) & 1 == 1]
+                total[m] += np.bincount(mine, minlength=len(candidates))
+        at = np.nonzero(total)
+        yield pd.DataFrame({"member": at[0], "candidate": at[1], "n": total[at]})
+
+    return run
+
+
+def seeding_candidates(df: DataFrame, cols: list[str], key: str, mask: str | None, members: list[int | None], seed: int) -> tuple[np.ndarray, dict]:
+    """Candidates for centres, and the weight of each by member (None: all rows)."""
+    points, bits = seeding_sample(df, cols, key, mask, seed)
+    if len(points) < SEEDING_ROWS:
+        return points, {m: np.ones(len(points)) if m is None else ((bits >> m) & 1).astype(float) for m in members}
+    points = points[:ROUND_ROWS]
+    rows = spread(df.select(key, *cols, *([mask] if mask else [])))
+    schema = ", ".join(f"`{c}` double" for c in [*cols, "_score"])
+    for i in range(ROUNDS):
+        u = F.pmod(F.xxhash64(F.col(key), *cols, F.lit(seed + 7919 * (i + 1))), F.lit(1 << 30)).alias("_u")
+        drawn = rows.select(*cols, u).mapInPandas(_draw(points, cols, ROUND_ROWS), schema).orderBy("_score", *cols).limit(ROUND_ROWS).toPandas()
+        points = np.unique(np.vstack([points, drawn[cols].to_numpy(dtype=float)]), axis=0)
+    counts = rows.mapInPandas(_weigh(points, cols, mask, members), "member int, candidate int, n double")
+    weights = np.zeros((len(members), len(points)))
+    for row in counts.groupBy("member", "candidate").agg(F.sum("n").alias("n")).collect():
+        weights[row["member"], row["candidate"]] = row["n"]
+    return points, dict(zip(members, weights))
+
+
+def plus_plus(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ seeding of weighted points: each next centre is the best of a few draws proportional to squared distance."""
     rng = np.random.default_rng(seed)
-    chosen = [points[rng.integers(len(points))]]
+    share = weights / weights.sum()
+    chosen = [points[rng.choice(len(points), p=share)]]
     closest = ((points - chosen[0]) ** 2).sum(axis=1)
     trials = 2 + int(np.log(k))
     while len(chosen) < k:
-        total = closest.sum()
-        picks = rng.integers(len(points), size=trials) if total <= 0 else rng.choice(len(points), trials, p=closest / total)
+        cost = closest * weights
+        total = cost.sum()
+        picks = rng.choice(len(points), trials, p=share if total <= 0 else cost / total)
         options = np.minimum(closest, ((points[None, :, :] - points[picks][:, None, :]) ** 2).sum(axis=2))
-        best = options.sum(axis=1).argmin()
+        best = (options * weights).sum(axis=1).argmin()
         chosen.append(points[picks[best]])
         closest = options[best]
     return np.array(chosen)
@@ -97,15 +170,20 @@ def _partial_sums(runs: list[tuple[int, np.ndarray, int | None]], cols: list[str
 
 
 def fit_runs(
-    df: DataFrame, cols: list[str], runs: list[Run], key: str, mask: str | None = None, max_iter: int = 100, tol: float = 1e-4, seed: int = 42
+    df: DataFrame, cols: list[str], runs: list[Run], key: str, mask: str | None = None, max_iter: int | None = None, tol: float = 1e-4, seed: int = 42
 ) -> list[Run]:
-    """Fit all ``runs`` on ``df`` (persist it or read it from a table). Fills in centres and inertia."""
-    points, bits = seeding_sample(df, cols, key, mask, seed)
+    """Fit all ``runs`` on ``df`` (persist it or read it from a table). Fills in centres and inertia.
+
+    Runs go on until they converge; with ``max_iter`` one may end earlier, and its ``done`` is False then.
+    """
+    members = [None, *sorted({r.member for r in runs if r.member is not None})]
+    points, weights = seeding_candidates(df, cols, key, mask, members, seed)
     for r in runs:
         if r.centers is None:
-            mine = points if r.member is None else points[(bits >> r.member) & 1 == 1]
-            r.centers = plus_plus(mine if len(mine) >= r.k else points, r.k, r.seed)
-    scale = tol * float(points.var(axis=0).mean())
+            mine = weights[r.member]
+            r.centers = plus_plus(points, mine if np.count_nonzero(mine) >= r.k else weights[None], r.k, r.seed)
+    mean = np.average(points, axis=0, weights=weights[None])
+    scale = tol * float(np.average((points - mean) ** 2, axis=0, weights=weights[None]).mean())
     width = len(cols)
     names = [*[f"s{i}" for i in range(width)], "n", "cost"]
     schema = "run int, cluster int, " + ", ".join(f"{c} double" for c in names)
@@ -115,7 +193,7 @@ def fit_runs(
     # the sums of a few tasks can be added here; those of many tasks are added by the cluster first
     cores = df.sparkSession.sparkContext.defaultParallelism
     few_tasks = tasks is not None and max(tasks, cores) <= DIRECT_TASKS
-    for _ in range(max_iter):
+    for _ in itertools.count() if max_iter is None else range(max_iter):
         active = [(i, r.centers, r.member) for i, r in enumerate(runs) if not r.done]
         if not active:
             break
@@ -137,7 +215,7 @@ def fit_runs(
             r = runs[i]
             r.centers = fresh[start[i] : start[i] + len(centers)]
             r.inertia = float(cost[i])  # cost of the centres used for this assignment
-            r.done = bool(moved[i] <= scale)
+            r.done = not moved[i] > scale
     return runs
 
 
@@ -191,7 +269,7 @@ def best_by_k(runs: list[Run]) -> dict[int, Run]:
 
 
 def kmeans(
-    df: DataFrame, cols: list[str], k: int, key: str, n_init: int = 20, seed: int = 42, max_iter: int = 100, start: np.ndarray | None = None
+    df: DataFrame, cols: list[str], k: int, key: str, n_init: int = 20, seed: int = 42, max_iter: int | None = None, start: np.ndarray | None = None
 ) -> np.ndarray:
     """Centres of the restart with the lowest inertia, ordered by their first coordinates for a stable labeling.
 

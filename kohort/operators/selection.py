@@ -113,7 +113,7 @@ def evaluate_k_range(
     n_init: int = 20,
     stability_runs: int = 10,
     rules: dict = fv.RULES,
-    max_iter: int = 60,
+    max_iter: int | None = None,
 ) -> tuple[DataFrame, dict]:
     """Metric table for every candidate k, and the centres behind it.
 

@@ -169,3 +169,13 @@ def test_search_against_brute_force(spark):
     for (query, doc), score in got.items():
         assert query == 7 and score == pytest.approx(float(asked @ vector(terms[doc])))
     assert {doc for _, doc in got} == {0, 1, 3}
+
+
+def test_kmeans_seeds_a_rare_group_and_converges(spark):
+    """Three rows of 60,000 are a group of their own; the 2,000 rows least by hash hold none of them."""
+    noise = [((F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 1000) - 0.5).alias(c) for i, c in enumerate("uv")]
+    big = spark.range(60_000).select("id", *noise).select("id", *[(F.col(c) + F.when(F.col("id") % 20_000 == 5, 60).otherwise(F.col("id") % 3 * 10)).alias(c) for c in "uv"])
+    runs = km.fit_runs(big.persist(), ["u", "v"], [km.Run(4, i) for i in range(3)], "id")
+    assert all(r.done for r in runs)
+    sizes = km.assign(big, ["u", "v"], km.best_by_k(runs)[4].centers).groupBy("Segment").count().collect()
+    assert sorted(r["count"] for r in sizes)[0] == 3
