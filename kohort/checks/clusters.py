@@ -249,18 +249,18 @@ def _matrix(spark, folder):
 @query("k1_kmeans")
 def fit_kmeans(spark, folder):
     df = _matrix(spark, folder)
-    centers = km.kmeans(df, fv.FORMING, 4, "ID", n_init=10)
+    centers = km.kmeans(df, fv.FORMING, 4, "ID")
     return km.assign(df, fv.FORMING, centers).groupBy("Segment").agg(F.count("*").alias("rows"))
 
 
 @query("k4_compare_algorithms")
 def algorithms(spark, folder):
-    return selection.compare_algorithms(_matrix(spark, folder), fv.FORMING, 4, "ID", n_init=4)
+    return selection.compare_algorithms(_matrix(spark, folder), fv.FORMING, 4, "ID")
 
 
 @query("k5_bootstrap_stability")
 def stability(spark, folder):
-    metrics, _ = selection.evaluate_k_range(_matrix(spark, folder), fv.FORMING, "ID", [3, 4], n_init=4, stability_runs=4)
+    metrics, _ = selection.evaluate_k_range(_matrix(spark, folder), fv.FORMING, "ID")
     return metrics.select("k", "stability_ari")
 
 
@@ -280,7 +280,7 @@ def customer_model(spark, folder):
 
     key = (spark.sparkContext.applicationId, folder)
     if key not in _models:
-        _models[key] = fit_customers(c360(spark, folder), as_of=dt.date(2026, 1, 1), n_init=4, stability_runs=3)
+        _models[key] = fit_customers(c360(spark, folder), as_of=dt.date(2026, 1, 1))
     return _models[key]
 
 
@@ -357,7 +357,7 @@ def rfm_model(spark, folder):
 
     key = (spark.sparkContext.applicationId, folder, "rfm")
     if key not in _models:
-        _models[key] = train_rfm(c360(spark, folder), n_init=4)
+        _models[key] = train_rfm(c360(spark, folder))
     return _models[key]
 
 

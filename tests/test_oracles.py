@@ -46,3 +46,34 @@ def test_query_equals_sql(spark, folder, duck, name):
 def test_every_query_has_a_plain_name():
     assert len(REGISTRY) > 150
     assert all(n == n.lower() and math.isfinite(len(n)) for n in REGISTRY)
+
+
+def test_fitted_queries_use_the_defaults_of_their_operators(spark, monkeypatch):
+    """The registered queries ask for no fewer restarts, refits or candidates than the operators do by themselves."""
+    from kohort.checks import clusters, names
+    from kohort.operators import kmeans, selection
+    from kohort.plans import auto, rfm, segmenter
+
+    asked = {}
+
+    class Called(Exception):
+        pass
+
+    def record(name):
+        def call(*args, **options):
+            asked[name] = (len(args), set(options))
+            raise Called
+
+        return call
+
+    for module, name in ((kmeans, "kmeans"), (selection, "compare_algorithms"), (selection, "evaluate_k_range"), (segmenter, "fit_customers"), (rfm, "train_rfm"), (auto, "auto_segment")):
+        monkeypatch.setattr(module, name, record(name))
+    for module in (clusters, names):
+        monkeypatch.setattr(module, "_models", {})
+    for name in ("_matrix", "c360"):
+        monkeypatch.setattr(clusters, name, lambda *_: None)
+    monkeypatch.setattr(names, "_parts", lambda *_: None)
+    for query in (clusters.fit_kmeans, clusters.algorithms, clusters.stability, clusters.fit_customers, clusters.rfm, names.auto):
+        with pytest.raises(Called):
+            query(spark, "")
+    assert asked == {"kmeans": (4, set()), "compare_algorithms": (4, set()), "evaluate_k_range": (3, set()), "fit_customers": (1, {"as_of"}), "train_rfm": (1, set()), "auto_segment": (1, set())}
