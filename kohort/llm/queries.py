@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kohort.llm import perspectives
+from kohort.llm import fingerprints, perspectives
 from kohort.session import shared_folder, stage_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,8 @@ def token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, changes in (("load", inserts), ("load", inserts), ("recount", revised), ("copies", deleted), ("recount", revised)):
         rollup.commit(name, changes)
     return rollup.totals()
+
+
+@query("op11_fingerprints", fingerprints.SQL)
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
