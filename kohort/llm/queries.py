@@ -145,3 +145,11 @@ def token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_fingerprints", fingerprints.SQL)
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op12_whitening")
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kohort.llm.whitening import whiten
+
+    # null where the exact number leaves the range of bigint
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
