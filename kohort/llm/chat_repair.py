@@ -11,7 +11,7 @@ turn), so an item is final when it is popped, with the least cost and of these t
 when the goal item is popped.
 
 Rows are ranged over the partitions by (conversation, turn, ...), so that a conversation of any length is spread; at most
-``SPAN`` rows that follow each other there are searched together. A span that may go on in the next one is searched from
+1 << ``SPAN_BITS`` rows that follow each other there are searched together. A span that may go on in the next one is searched from
 every state to every state, and the chains of spans are searched by the same agenda, whose rules then join two spans. One
 string per conversation (the audit) and one running hash of its text go through one task, as a stream: both are sequential by
 definition. Everything else is split by place.
@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -33,7 +34,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kohort.session import stage_table
 
 SPAN_BITS = 10
-SPAN = 1 << SPAN_BITS
 CHAIN = 64
 REROLE, DELETE, INSERT, LATE = 3, 4, 3, 3
 #: States: 0 nothing yet, 1 after the system turn, 2 after a user turn, 3 after an assistant turn.
@@ -139,7 +139,7 @@ def _spans(rows: Iterator[tuple], first: bool, last: bool) -> dict:
         "items": [{"a": a, "b": b, "cost": c, "audit": t} for (a, b), (c, t) in items.items()],
         "head": initials[0],
         "tail": initials[-1],
-        "illegal": sum(x + y not in LEGAL for x, y in zip(initials, initials[1:])),
+        "illegal": sum(x + y not in LEGAL for x, y in pairwise(initials)),
         "blank": faults.count(BLANK),
         "duplicate": faults.count(DUPLICATE),
         "truncated": faults.count(TRUNCATED),
@@ -153,7 +153,7 @@ _ITEM_TYPES = pa.struct([("items", pa.list_(pa.struct([("a", pa.int32()), ("b",
 def _runs(conv: list) -> list[tuple[int, int]]:
     """Bounds of the runs of equal values."""
     cuts = [0, *[i for i in range(1, len(conv)) if conv[i] != conv[i - 1]], len(conv)]
-    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+    return [(a, b) for a, b in pairwise(cuts) if b > a]
 
 
 def _search(part: pa.Table) -> pa.Table:
@@ -195,7 +195,7 @@ def _chain(batches):
             states.append(s)
         states = [0, *states[::-1]]
         out, at = [], 0
-        for r, a, b in zip(rows, states, states[1:], strict=True):
+        for r, (a, b) in zip(rows, pairwise(states), strict=True):
             cost, size = r["items"][a, b]
             out.append({"conv": r["conv"], "span": r["span"], "state": a, "cost": cost, "audit": audit[at : at + size], **{c: r[c] for c in ("illegal", "blank", "duplicate", "truncated")}})
             at += size
@@ -308,14 +308,59 @@ def damage(rows: DataFrame) -> DataFrame:
 def repair_damaged(rows: DataFrame) -> DataFrame:
     """Damage, then repair: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of every conversation.
 
-    ``gaps``: numbers missing between the least and the largest turn after damage, ignoring nulls. Conversations that lost all
-    rows have zeros, an empty audit and the hash of nothing.
+    ``gaps``: numbers missing between the least and the largest turn after damage, ignoring nulls (0 beyond the range of bigint).
+    Conversations that lost all rows have zeros, an empty audit and the hash of nothing.
     """
     hurt = damage(rows)
     found, _ = repair(hurt)
-    numbers = hurt.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).groupBy("conv_id").agg((F.max("turn") - F.min("turn") + 1 - F.count("turn")).alias("gaps"))
+    numbers = hurt.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).groupBy("conv_id").agg(F.try_add(F.try_subtract(F.max("turn"), F.min("turn")), 1 - F.count("turn")).alias("gaps"))
     every = rows.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
     out = every.join(numbers.withColumnRenamed("conv_id", "g"), F.col("conv_id").eqNullSafe(F.col("g")), "left").drop("g")
     out = out.join(found.withColumnRenamed("conv_id", "f"), F.col("conv_id").eqNullSafe(F.col("f")), "left").drop("f")
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256"))
+
+
+def _sql() -> str:
+    """The same in DuckDB SQL: the states of all conversations, turn by turn."""
+    crc = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))"
+    put = ", ".join(f"({p}, {j}, {q}, '{t}')" for p in STATES for j, q, t in _puts(p))
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+    c AS (SELECT *, xor({crc}, 4294967295) % 20 AS kind FROM r),
+    h AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+    n AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS k, left(role, 1) AS initial, rtrim(text, {white}) AS body FROM h),
+    f AS (SELECT *, CASE WHEN body = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 2 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial AS pair FROM n),
+    s AS (SELECT DISTINCT conv_id FROM conversations),
+    puts(p, j, q, lines) AS (VALUES {put}),
+    d AS (SELECT conv_id, CAST(0 AS BIGINT) AS k, 0 AS state, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': ''}} AS best FROM s
+      UNION ALL
+      SELECT conv_id, k, state, min(best) FROM (
+        SELECT d.conv_id, f.k, CASE e.edit WHEN 'D' THEN q WHEN 'R' THEN CASE q WHEN 2 THEN 3 ELSE 2 END ELSE CASE WHEN q = 0 AND initial = 's' THEN 1 WHEN q <> 2 AND initial = 'u' THEN 2 WHEN q = 2 AND initial = 'a' THEN 3 END END AS state,
+          {{'cost': best.cost + j * {INSERT} + CASE e.edit WHEN 'D' THEN {DELETE} WHEN 'R' THEN {REROLE} ELSE 0 END + CASE WHEN fault = 3 AND e.edit <> 'D' THEN {LATE} ELSE 0 END,
+            'audit': best.audit || repeat('I', j) || e.edit,
+            'lines': best.lines || puts.lines || CASE e.edit WHEN 'D' THEN '' WHEN 'K' THEN role || ':' || text || chr(10) ELSE CASE q WHEN 2 THEN 'assistant:' ELSE 'user:' END || text || chr(10) END}} AS best
+        FROM d JOIN f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.k = d.k + 1 JOIN puts ON p = d.state CROSS JOIN (VALUES ('K'), ('R'), ('D')) e(edit)
+        WHERE fault IN (0, 3) OR e.edit = 'D') WHERE state IS NOT NULL GROUP BY conv_id, k, state),
+    m AS (SELECT conv_id, max(k) AS last FROM d GROUP BY conv_id),
+    z AS (SELECT d.conv_id, min({{'cost': best.cost + j * {INSERT}, 'audit': best.audit || repeat('I', j), 'lines': best.lines || puts.lines}}) AS best
+      FROM d JOIN m ON m.conv_id IS NOT DISTINCT FROM d.conv_id AND d.k = m.last JOIN puts ON p = d.state WHERE q IN (0, 3) GROUP BY d.conv_id),
+    t AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+    SELECT s.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+      best.cost AS cost, best.audit AS audit, sha256(left(best.lines, greatest(length(best.lines) - 1, 0))) AS repaired_sha256
+    FROM s JOIN z ON z.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM s.conv_id"""
+
+
+def _puts(state: int) -> list[tuple[int, int, str]]:
+    """Up to two turns put in one after another: (how many, state after them, their lines)."""
+    out, lines = [(0, state, "")], ""
+    for j in (1, 2):
+        state = _PUT[state]
+        lines += f"{ROLE[state]}:\n"
+        out.append((j, state, lines))
+    return out
+
+
+SQL = _sql()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kohort.llm import fingerprints, perspectives
+from kohort.llm import chat_repair, fingerprints, perspectives
 from kohort.session import shared_folder, stage_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,8 @@ def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # null where the exact number leaves the range of bigint
     return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query("op13_chat_repair", chat_repair.SQL)
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair_damaged(table(spark, sf_dir, "conversations"))
