@@ -108,17 +108,27 @@ def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return rows.select(F.unhex(F.sha2(named.cast("binary"), 256)).alias("key"), "id", "text")
 
 
-def _own_lanes(rows: DataFrame) -> DataFrame:
-    """``key``, ``id``, ``copies`` and the reduced lanes of one of the equal rows."""
-    facts = rows.groupBy("key").agg(F.count("*").alias("copies"), F.first("id").alias("id"))
-    # equal rows were added up; every sum is a whole multiple of their number
-    one = F.transform("lanes", lambda x: F.call_function("div", x, F.col("copies")))
-    return add_lanes(rows, ["key"], "text").join(facts, "key").select("key", "id", "copies", reduced(one).alias("lanes"))
+def _one(copies: str) -> Column:
+    """Reduced lanes of one of several equal rows that were added up; every sum is a whole multiple of their number."""
+    return reduced(F.transform("lanes", lambda x: F.call_function("div", x, F.col(copies))))
+
+
+def _narrow(lanes: Column) -> Column:
+    """Reduced lanes as array<int>, half the size to move; ``_wide`` is the way back."""
+    top = F.lit(1 << 31)
+    return F.transform(lanes, lambda x: (x.bitwiseXOR(top) - top).cast("int"))
+
+
+def _wide(lanes: Column) -> Column:
+    return F.transform(lanes, lambda x: x.cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``copies`` (rows), ``lanes`` and ``fingerprint`` of every distinct (id, text); other columns play no part."""
-    return _own_lanes(_keyed(docs, id_column, text)).select(F.col("id").alias("doc_id"), "copies", "lanes", shown(F.col("lanes")).alias("fingerprint"))
+    rows = _keyed(docs, id_column, text)
+    facts = rows.groupBy("key").agg(F.count("*").alias("copies"), F.first("id").alias("id"))
+    lanes = add_lanes(rows, ["key"], "text").join(facts, "key")
+    return lanes.select(F.col("id").alias("doc_id"), "copies", _one("copies").alias("lanes")).withColumn("fingerprint", shown(F.col("lanes")))
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
@@ -149,7 +159,9 @@ def compare_edits(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     """
     rows = _keyed(docs, id_column, text)
     links = _in_order(rows)
-    own = stage_table(_own_lanes(rows), "fingerprint-lanes")
+    # with all that later steps need of a row, so that its lanes move to its own key and to the row before, and no further
+    own = add_lanes(rows, ["key"], "text").join(links.drop("want"), "key").select("key", "id", "n_chars", "prev_key", _narrow(_one("copies")).alias("lanes"))
+    own = stage_table(own, "fingerprint-lanes")
     half = F.expr("length(text) div 2")
     texts = rows.groupBy("key").agg(F.first("text").alias("text"))
     # what each text gives to the rows before it: (to whom, how much, whether to its own copies, how many)
@@ -160,9 +172,10 @@ def compare_edits(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     edited = texts.join(rests, "key").select("key", "kind", "times", F.concat(F.col("text").substr(F.lit(1), (F.length("text") - half).cast("int")), "rest").alias("text"))
     edited = edited.select("key", "kind", "times", F.sha2(F.col("text").cast("binary"), 256).alias("edited_sha256"), "text")
     changed = add_lanes(edited, ["key", "kind", "times", "edited_sha256"], "text").withColumn("edited_lanes", reduced(F.col("lanes"))).drop("lanes")
-    following = own.join(links.select("key", "prev_key"), "key").select(F.col("prev_key").alias("key"), F.col("lanes").alias("next_lanes"))
-    out = own.join(links.select("key", "n_chars"), "key").join(changed, "key").join(following, "key")
-    after = F.when(F.col("kind") == 1, F.col("lanes")).otherwise(F.col("next_lanes"))
+    following = own.select(F.col("prev_key").alias("key"), F.col("lanes").alias("next_lanes"))
+    out = own.drop("prev_key").join(changed, "key").join(following, "key")
+    after = _wide(F.when(F.col("kind") == 1, F.col("lanes")).otherwise(F.col("next_lanes")))
+    out = out.select("id", "n_chars", "edited_sha256", "edited_lanes", "times", _wide(F.col("lanes")).alias("lanes"), after.alias("after"))
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return out.select(
         F.col("id").alias("doc_id"),
@@ -171,7 +184,7 @@ def compare_edits(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
         shown(F.col("lanes")).alias("fingerprint"),
         shown(F.col("edited_lanes")).alias("edited_fingerprint"),
         likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
-        likeness(F.col("lanes"), after).alias("near_next"),
+        likeness(F.col("lanes"), F.col("after")).alias("near_next"),
     )
 
 
