@@ -59,7 +59,8 @@ class Transducer:
                     self.inner[node] = True
                 node = nxt
             self.token_at[node] = rank
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
+        self.parts: dict[int, tuple[int, int] | None | bool] = {}
         self.emptied = 0
         self._empty()
 
@@ -72,16 +73,64 @@ class Transducer:
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether the bytes of both tokens, merged by rank, give these two tokens (left -1: right alone gives itself)."""
-        known = self.follows.get((left, right))
+        key = (left + 1) << 32 | right
+        known = self.follows.get(key)
         if known is None:
-            a = self.bytes_of[left] if left >= 0 else b""
-            known = self._keeps(a, self.bytes_of[right])
-            if len(self.follows) >= self.max_states:
+            if self._made_of(right) is False or left >= 0 and self._made_of(left) is False:
+                known = self._keeps(self.bytes_of[left] if left >= 0 else b"", self.bytes_of[right])
+            else:
+                known = left < 0 or self._apart(left, right)
+            if len(self.follows) >= 4 * self.max_states:
                 self.follows.clear()
-            self.follows[left, right] = known
+            self.follows[key] = known
         return known
 
+    def _made_of(self, token: int) -> tuple[int, int] | None | bool:
+        """The two tokens whose merge gives this one, all made by lower ranks; None for a byte, False if it is not made so."""
+        known = self.parts.get(token, True)
+        if known is True:
+            text = self.bytes_of[token]
+            known = None
+            if len(text) > 1:
+                halves = [self.ranks.get(x) for x in self._merged(text, token)]
+                known = len(halves) == 2 and self._made_of(halves[0]) is not False and self._made_of(halves[1]) is not False and max(halves) < token and tuple(halves)
+            self.parts[token] = known
+        return known
+
+    def _merged(self, text: bytes, below: int) -> list[bytes]:
+        """The parts that merges of lower ranks than ``below`` leave."""
+        parts = [bytes((x,)) for x in text]
+        while True:
+            best, at = below, -1
+            for i in range(len(parts) - 1):
+                r = self.ranks.get(parts[i] + parts[i + 1])
+                if r is not None and r < best:
+                    best, at = r, i
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def _apart(self, x: int, y: int) -> bool:
+        """Whether no merge ever joins the end of ``x`` to the start of ``y``.
+
+        Goes back in time: the merge made last is undone, and the two parts that touch then would have been joined if
+        their rank came before it. Of two equal merges the left one is done first.
+        """
+        ranks, text, limit = self.ranks, self.bytes_of, len(self.bytes_of) + (1 << 40)
+        while True:
+            joined = ranks.get(text[x] + text[y])
+            if joined is not None and joined < limit:
+                return False
+            of_x, of_y = self._made_of(x), self._made_of(y)
+            if of_x is not None and (of_y is None or x > y):
+                x, limit = of_x[1], x
+            elif of_y is not None:
+                y, limit = of_y[0], y + 1
+            else:
+                return True
+
     def _keeps(self, a: bytes, b: bytes) -> bool:
+        """The same for any two byte strings, by merging them."""
         parts = [bytes((x,)) for x in a + b]
         cut, ranks = len(a), self.ranks
         while True:
@@ -99,25 +148,29 @@ class Transducer:
 
     def _step(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
         alive, done = [], None
+        child, inner = self.child, self.inner
         for node, before, pending in self.states[state]:
-            nxt = self.child.get(node << 8 | byte)
+            nxt = child.get(node << 8 | byte)
             if nxt is None:
                 continue
-            token = self.token_at[nxt]
-            if done is None and token >= 0 and self.may_follow(before, token):
-                done = (_ROOT, token, (*pending, token))
-            if self.inner[nxt]:
+            if done is None:
+                token = self.token_at[nxt]
+                if token >= 0 and self.may_follow(before, token):
+                    done = (_ROOT, token, (*pending, token))
+            if inner[nxt]:
                 alive.append((nxt, before, pending))
         if done is None:
             raise ValueError("the rank file lacks a byte")
-        alive.append(done)
         shared = done[2]
-        for _, _, pending in alive[:-1]:
-            k = 0
-            while k < len(pending) and k < len(shared) and pending[k] == shared[k]:
-                k += 1
-            shared = shared[:k]
-        target = tuple((n, t, p[len(shared) :]) for n, t, p in alive)
+        for _, _, pending in alive:
+            if pending[: len(shared)] != shared:
+                k = 0
+                while k < len(pending) and k < len(shared) and pending[k] == shared[k]:
+                    k += 1
+                shared = shared[:k]
+        alive.append(done)
+        cut = len(shared)
+        target = tuple((n, t, p[cut:]) for n, t, p in alive) if cut else tuple(alive)
         if len(self.states) >= self.max_states:
             self._empty()
         number = self.number.get(target)
@@ -207,7 +260,6 @@ class Codec:
         wide = int(self.digit_size.max(initial=1))
         self.digits = np.frombuffer(b"".join(t.ljust(wide) for t in shown), dtype=np.uint8).reshape(-1, wide)
         self.digit_used = np.arange(wide) < self.digit_size[:, None]
-        self.turns: dict[tuple[bytes, int], tuple[bytes, bytes]] = {}
 
     @staticmethod
     def _is_whole(token: bytes) -> bool:
@@ -240,25 +292,23 @@ class Codec:
         return self.digits[ids][self.digit_used[ids]]
 
     def decode(self, ids: np.ndarray) -> Iterator[bytes]:
-        """Whole characters, in portions."""
-        if len(ids) and self.whole[ids].all():
-            yield self.blob[gather(self.place[ids], self.size[ids])].tobytes()
+        """Whole characters, in portions. Runs of tokens that hold whole characters only pass the machine by."""
+        size = self.size[ids]
+        raw = self.blob[gather(self.place[ids], size)].tobytes()
+        broken = ~self.whole[ids]
+        if not broken.any():
+            yield raw
             return
-        held, table, turns = b"", self.table, self.turns
-        for i in ids.tolist():
-            turn = turns.get((held, i))
-            if turn is None:
-                machine = Utf8Machine()
-                machine.held = held
-                turn = machine.feed(table[i]), machine.held
-                if len(turns) >= MAX_STEPS:
-                    turns.clear()
-                turns[held, i] = turn
-            if turn[0]:
-                yield turn[0]
-            held = turn[1]
-        if held:
-            yield held
+        turn = np.flatnonzero(broken[1:] != broken[:-1]) + 1
+        at = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], turn, [len(ids)]))].tolist()
+        machine, through = Utf8Machine(), bool(broken[0])
+        for a, b in pairwise(at):
+            if through:
+                yield machine.feed(raw[a:b])
+            else:
+                yield machine.close() + raw[a:b]  # a whole character never completes an unfinished one
+            through = not through
+        yield machine.close()
 
 
 _codecs: dict[bytes, Codec] = {}
