@@ -11,7 +11,8 @@ order, the prefixes and one column.
 
 Copies of a whole text are folded first (a text of ``length`` bytes that occurs twice goes wholly); one of them stays as a
 partner for others. An anchor of more than ``MAX_RUN`` places is not gathered: each string around it becomes a row of its
-own (128-bit hash), counted by Spark with partial sums, which is exact too and splits any group.
+own (128-bit hash), counted by Spark with partial sums, which is exact too. Joins back to an anchor, a string or a text that
+many rows share read written tables on both sides, so that Spark splits the partitions that they fill.
 
 Nulls count as empty texts; a null id is kept; repeated rows are documents of their own with equal results; texts shorter
 than ``length`` lose nothing; an empty table gives an empty one; clashing column names are replaced.
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from kohort.llm.arrow_text import BYTE_VALUES, mix, portions, prefix_hash, slices, span_hash
+from kohort.llm.arrow_text import BYTE_VALUES, mix, portions, prefix_hash, slices, small_batches, span_hash
 from kohort.session import stage_table
 
 SEED = 32
@@ -267,13 +268,14 @@ def repeated_spans(rows: DataFrame, length: int, max_run: int = MAX_RUN) -> tupl
     Facts: _id, _key, n_bytes, copies (rows with this text) and stands (this row's id is the least of them).
     """
     found = stage_table(rows.mapInArrow(_find_anchors(length), "_id bigint, _key binary, n_bytes bigint, anchor array<bigint>, place array<int>, lo array<int>, hi array<int>"), "anchors")
-    classes = found.groupBy("_key").agg(F.count("*").alias("copies"), F.min("_id").alias("least"))
-    joined = found.join(classes, "_key")
-    facts = joined.select("_id", "_key", "n_bytes", "copies", (F.col("_id") == F.col("least")).alias("stands")).distinct()
-    lone = joined.where(F.col("_id") == F.col("least"))
+    classes = stage_table(found.groupBy("_key").agg(F.count("*").alias("copies"), F.min("_id").alias("least")), "classes")
+    facts = found.select("_id", "_key", "n_bytes").join(classes, "_key").select("_id", "_key", "n_bytes", "copies", (F.col("_id") == F.col("least")).alias("stands")).distinct()
+    # the lists of copies stay behind: only one row of each text is looked up, by id and text
+    lone = found.join(classes.select("_key", F.col("least").alias("_id")), ["_key", "_id"], "left_semi")
     places = lone.select("_id", "_key", F.explode(F.arrays_zip("anchor", "place")).alias("x")).select("_id", "_key", "x.anchor", "x.place")
     occurrence = F.xxhash64("_key", "place")
-    shared = places.groupBy("anchor").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b"), F.count("*").alias("n")).where("a <> b").select("anchor", (F.col("n") > max_run).alias("big"))
+    counts = places.groupBy("anchor").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b"), F.count("*").alias("n"))
+    shared = stage_table(counts.where("a <> b").select("anchor", (F.col("n") > max_run).alias("big")), "shared")
     wanted = stage_table(places.join(shared, "anchor").groupBy("_id", "_key", "big").agg(F.collect_set(F.struct("anchor", "place")).alias("wanted")), "wanted")
 
     def cut(big: bool, make, schema: T.StructType) -> DataFrame:
@@ -283,16 +285,16 @@ def repeated_spans(rows: DataFrame, length: int, max_run: int = MAX_RUN) -> tupl
     small = cut(False, _segments, _SEGMENT).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(length), _SPAN)
     strings = cut(True, _strings(length), _STRING)
     own = F.xxhash64("_key", "lo")
-    twice = strings.groupBy("h1", "h2").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("h1", "h2")
+    twice = stage_table(strings.groupBy("h1", "h2").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("h1", "h2"), "strings")
     large = strings.join(twice, ["h1", "h2"]).select("_id", "_key", "lo", (F.col("lo") + length).alias("hi"))
     inner = lone.where(F.size("lo") > 0).select("_id", "_key", F.explode(F.arrays_zip("lo", "hi")).alias("x")).select("_id", "_key", "x.lo", "x.hi")
     return small.unionByName(large).unionByName(inner), facts
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text: str = "text", max_run: int = MAX_RUN) -> DataFrame:
-    """All columns of ``docs`` and: n_bytes, n_removed, n_spans, kept (binary: the bytes that stay, in order)."""
-    keep = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept", "_id", "_key", "_text")]
-    rows = docs.select(*_row_key(docs, id_column, text), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"))
+def _kept(docs: DataFrame, length: int, id_column: str, text: str, max_run: int, least_words: int = 0) -> DataFrame:
+    """``_row`` (all columns of ``docs``), n_bytes, n_removed, n_spans and kept (binary)."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(*_row_key(docs, id_column, text), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     spans, facts = repeated_spans(rows, length, max_run)
     covered = spans.groupBy("_id", "_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     marks = facts.join(covered, ["_id", "_key"], "left").withColumn("whole", (F.col("copies") > 1) & (F.col("n_bytes") >= length)).where("whole or spans is not null").select("_id", "_key", "whole", "spans")
@@ -304,12 +306,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id"
             texts, whole, spans = (batch.column(i).to_pylist() for i in (1, 2, 3))
             for t, all_of_it, marked in zip(texts, whole, spans, strict=True):
                 data = t.encode("utf-8", "surrogatepass")
+                lo: list[int] = []
+                hi: list[int] = []
                 if all_of_it:
                     lo, hi = [0], [len(data)]
                 elif marked:
                     lo, hi = (x.tolist() for x in merge_spans(np.array([m["lo"] for m in marked]), np.array([m["hi"] for m in marked])))
-                else:
-                    lo, hi = [], []
+                if least_words:
+                    long = [(a, b) for a, b in zip(lo, hi, strict=True) if len(data[a:b].split()) >= least_words]
+                    lo, hi = [a for a, _ in long], [b for _, b in long]
                 n_bytes.append(len(data))
                 n_removed.append(sum(hi) - sum(lo))
                 n_spans.append(len(lo))
@@ -317,19 +322,28 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["_row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = T.StructType([rows.schema["_row"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
-    return full.mapInArrow(run, schema).select(*[F.col("_row").getField(c).alias(c) for c in keep], "n_bytes", "n_removed", "n_spans", "kept")
+    return full.mapInArrow(run, schema)
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text: str = "text", max_run: int = MAX_RUN) -> DataFrame:
+    """All columns of ``docs`` and: n_bytes, n_removed, n_spans, kept (binary: the bytes that stay, in order)."""
+    new = ["n_bytes", "n_removed", "n_spans", "kept"]
+    return _kept(docs, length, id_column, text, max_run).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in new], *new)
 
 
-def without_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the bytes that stay as their text; characters of which a byte went are dropped. A null text becomes empty."""
-    found = remove_repeats(docs, length, id_column, text).select(*[F.col(f"`{c}`") for c in docs.columns], "kept")
-    at, last = docs.columns.index(text), len(docs.columns)
+def without_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text: str = "text", least_words: int = 0) -> DataFrame:
+    """``docs`` with the bytes that stay as their text; characters of which a byte went are dropped. A null text becomes empty.
+
+    With ``least_words``, a maximal run of removed bytes goes only if it holds so many words (of bytes between white space).
+    """
+    found = _kept(docs, length, id_column, text, MAX_RUN, least_words).select("_row", "kept")
+    names = docs.columns
+    at = names.index(text)
 
     def run(batches):
         for batch in portions(batches):
-            whole = pa.array([k.decode("utf-8", "ignore") for k in batch.column(last).to_pylist()], pa.string())
-            columns = batch.columns[:-1]
-            columns[at] = whole
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            columns = batch.column(0).flatten()
+            columns[at] = pa.array([k.decode("utf-8", "ignore") for k in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return found.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from kohort.llm.suffix_dedup import remove_repeats, suffix_rounds
+from kohort.llm.suffix_dedup import remove_repeats, suffix_rounds, without_repeats
 
 SCHEMA = T.StructType().add("doc_id", "long").add("text", "string").add("n_bytes", "string").add("_key", "integer")
 
@@ -85,3 +85,20 @@ def test_query_equals_brute_force_on_the_small_table(spark, folder):
     want = brute(list(texts.text), 400)
     got = QUERIES["op7_suffix_dedup"](spark, folder).orderBy("doc_id").collect()
     assert [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == [(int(i), *w[:3], hashlib.sha256(w[3]).hexdigest()) for i, w in zip(texts.doc_id, want)]
+
+
+def test_passages_of_over_fifty_short_words(spark):
+    rng = random.Random(9)
+    short = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice([2, 3, 4]))) for _ in range(n))
+    passages = [short(n) for n in range(53, 61)]
+    few = short(45)
+    texts = [f"{short(60)} {p} {short(40)}" for p in passages for _ in range(2)] + [f"{short(60)} {few} {short(60)}" for _ in range(2)]
+    schema = T.StructType().add("doc_id", "long").add("text", "string").add("kept", "string").add("_id", "integer").add("_row", "integer").add("_text", "string")
+    docs = spark.createDataFrame([(i, t, "clash", 1, 2, "own") for i, t in enumerate(texts)], schema).repartition(4)
+    got = without_repeats(docs, 200, least_words=51).orderBy("doc_id").collect()
+    for i, r in enumerate(got):
+        assert tuple(r)[2:] == ("clash", 1, 2, "own")
+        if i < 16:
+            assert passages[i // 2][3:-3] not in r.text and 90 <= len(r.text.split()) <= 102
+        else:
+            assert r.text == texts[i]
