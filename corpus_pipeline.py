@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kohort.llm.bpe import encode_texts
 from kohort.llm.decontam import without_items
@@ -27,16 +27,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the least id; of rows that repeat an id, one. Rows without an id stay."""
+    """Of every group of linked documents the one with the least id. Rows without an id stay.
+
+    Ids name documents: of rows that repeat an id the one whose text has the least hash stays.
+    """
     first = link_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy("doc_id")
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_row", F.row_number().over(once)).where("_row = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(whole, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("row"))
+    kept = texts.join(first, "doc_id", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur more than once; n_chars follows."""
-    out = without_repeats(docs, 400)
+    """Texts without the passages of over 50 words that occur more than once; n_chars follows.
+
+    Strings of 200 bytes are looked for, which 51 words have if they are of three letters on average; what repeats must hold
+    51 words to go.
+    """
+    out = without_repeats(docs, 200, least_words=51)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
