@@ -105,7 +105,7 @@ def test_kmeans_finds_planted_groups(spark):
 
 def test_naming_is_the_best_one_to_one(spark):
     rng = np.random.default_rng(2)
-    names = list(fv.ARCHETYPE_WEIGHTS)
+    names = [a["name"] for a in fv.ARCHETYPES]
     score = rng.normal(size=(4, len(names)))
     rows = [(s, n, float(score[s, j])) for s in range(4) for j, n in enumerate(names)]
     df = spark.createDataFrame(rows, "Segment int, name string, score double")
