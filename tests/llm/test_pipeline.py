@@ -37,7 +37,7 @@ def test_every_stage_equals_brute_force_on_what_the_one_before_kept(spark, folde
     assert all(rows[1][i] == rows[0][i] for i in rows[1])
 
     order = sorted(rows[1])
-    kept = dict(zip(order, [x[3].decode("utf-8", "ignore") for x in repeats([rows[1][i].text for i in order], 400)], strict=True))
+    kept = dict(zip(order, [x[3].decode("utf-8", "ignore") for x in repeats([rows[1][i].text for i in order], 200, least_words=51)], strict=True))
     assert {i: r.text for i, r in rows[2].items()} == kept
     assert all(r.n_chars == len(r.text) for r in rows[2].values())
 

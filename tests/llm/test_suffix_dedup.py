@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,8 +11,8 @@ from kohort.llm.suffix_dedup import remove_repeats, suffix_rounds, without_repea
 SCHEMA = T.StructType().add("doc_id", "long").add("text", "string").add("n_bytes", "string").add("_key", "integer")
 
 
-def brute(texts, length):
-    """(n_bytes, n_removed, n_spans, kept) of each text, every string compared with every other."""
+def brute(texts, length, least_words=0):
+    """(n_bytes, n_removed, n_spans, kept) of each text, every string compared with every other; runs of fewer words stay."""
     data = [(t or "").encode() for t in texts]
     seen = {}
     for d in data:
@@ -23,6 +24,9 @@ def brute(texts, length):
         for i in range(len(d) - length + 1):
             if seen[d[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
+        for m in re.finditer(b"\1+", bytes(gone)):
+            if len(d[m.start() : m.end()].split()) < least_words:
+                gone[m.start() : m.end()] = bytes(m.end() - m.start())
         spans = sum(gone[i] and not (i and gone[i - 1]) for i in range(len(d)))
         out.append((len(d), sum(gone), spans, bytes(b for b, g in zip(d, gone) if not g)))
     return out
