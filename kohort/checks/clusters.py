@@ -32,7 +32,7 @@ def inertia(spark, folder):
     return M.inertia(df, cols, "label").select(rnd("inertia").alias("inertia"))
 
 
-_PAIRS = """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, pow(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 2) AS dist FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
+_PAIRS = """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS dist FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
 m AS (SELECT a, la, lb, avg(dist) AS d FROM p GROUP BY ALL), w AS (SELECT a, la, max(CASE WHEN la = lb THEN d END) AS own, min(CASE WHEN la <> lb THEN d END) AS other FROM m GROUP BY ALL),
 sil AS (SELECT a AS vec_id, la AS label, CASE WHEN own IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END AS silhouette FROM w)"""
 
@@ -50,6 +50,13 @@ def row_silhouette(spark, folder):
     return M.silhouette_values(df, cols, "label", "vec_id").select("vec_id", "label", rnd("silhouette", 9).alias("silhouette"))
 
 
+@query("j2_squared_silhouette", f"{_PAIRS.replace('AS dist FROM', '^ 2 AS dist FROM')} SELECT round(avg(silhouette), 9) AS silhouette FROM sil")
+def squared_silhouette(spark, folder):
+    df, cols = _vectors(spark, folder)
+    out = M.silhouette_by_labeling(df, cols, {"label": "label"}, "vec_id", distance="squared")
+    return out.select(rnd("silhouette", 9).alias("silhouette"))
+
+
 @query("j4_calinski_harabasz", f"{_U}, g AS (SELECT i, avg(v) AS g FROM u GROUP BY i), b AS (SELECT sum(n * (m - g) * (m - g)) AS b FROM c JOIN g USING (i) JOIN s USING (label)) SELECT round((b / (k - 1)) / (w / (n - k)), 6) AS calinski_harabasz FROM b, (SELECT count(*) AS k, sum(n) AS n, sum(within) AS w FROM s)")
 def calinski(spark, folder):
     df, cols = _vectors(spark, folder)
@@ -88,7 +95,7 @@ b AS (SELECT k, sum(n * (m - g) * (m - g)) AS b FROM c JOIN g USING (i) JOIN s U
 q AS (SELECT k, sum(within) AS inertia, sum(n) AS n, count(*) AS kk, min(n) / sum(n) AS min_segment_share FROM s GROUP BY k),
 x AS (SELECT a.k, a.l AS la, e.l AS lb, sqrt(sum((a.m - e.m) * (a.m - e.m))) AS dist FROM c a JOIN c e ON a.k = e.k AND a.i = e.i AND a.l <> e.l GROUP BY ALL),
 db AS (SELECT k, avg(r) AS davies_bouldin FROM (SELECT x.k, la, max((sa.spread + sb.spread) / dist) AS r FROM x JOIN s sa ON sa.k = x.k AND sa.l = la JOIN s sb ON sb.k = x.k AND sb.l = lb GROUP BY ALL) GROUP BY k),
-p AS (SELECT a.vec_id AS a, e.vec_id AS b, pow(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 2) AS dist FROM embeddings a, embeddings e WHERE a.vec_id <> e.vec_id),
+p AS (SELECT a.vec_id AS a, e.vec_id AS b, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS dist FROM embeddings a, embeddings e WHERE a.vec_id <> e.vec_id),
 pm AS (SELECT x.k, a, x.l AS la, y.l AS lb, avg(dist) AS d FROM p JOIN lab x ON x.vec_id = a JOIN lab y ON y.vec_id = b AND y.k = x.k GROUP BY ALL),
 sil AS (SELECT k, avg(CASE WHEN own IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END) AS silhouette FROM (SELECT k, a, max(CASE WHEN la = lb THEN d END) AS own, min(CASE WHEN la <> lb THEN d END) AS other FROM pm GROUP BY k, a) GROUP BY k),
 cells AS (SELECT k, l, label, CAST(count(*) AS DOUBLE) AS n FROM lab GROUP BY ALL),

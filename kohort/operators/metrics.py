@@ -6,13 +6,18 @@ plain partial aggregates per (by, label); nothing is gathered per cluster.
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 import numpy as np
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from kohort.operators.sampling import first_by_hash
 
+# task functions travel with the job, so executors need numpy and pandas but not this package
+register_pickle_by_value(sys.modules[__name__])
+
 
 def feature_columns(df: DataFrame, vector: str, size: int, prefix: str = "x") -> tuple[DataFrame, list[str]]:
     """Spread an array column into DOUBLE columns (cast first: FLOAT subtraction would lose digits)."""
@@ -133,41 +138,47 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def silhouette_values(
-    df: DataFrame, cols: list[str], label: str, key: str, sample: int | None = None, seed: int = 42
+    df: DataFrame, cols: list[str], label: str, key: str, sample: int | None = None, seed: int = 42, distance: str = "euclidean"
 ) -> DataFrame:
-    """(key, label, silhouette) of every row, with the squared Euclidean distance.
+    """(key, label, silhouette) of every row by Euclidean distances to all others; ``key`` must be unique.
 
-    ``sample`` asks for the Euclidean distance instead, among that many rows; only these are returned then.
+    All pairs are compared, so the work grows with the square of the rows: ``sample`` limits the question to that many rows
+    (only these are returned then). ``distance="squared"`` takes squared distances, which is linear in the rows.
     """
-    rows = _silhouette(df, cols, {"": label}, key, sample, seed) if sample else _squared(df, cols, {"": label}, key)
+    rows = _scored(df, cols, {"": label}, key, sample, seed, distance)
     return rows.select(F.col("key").alias(key), F.col("label").alias(label), "silhouette")
 
 
 def silhouette_by_labeling(
-    df: DataFrame, cols: list[str], labelings: dict[str, str], key: str, sample: int | None = None, seed: int = 42
+    df: DataFrame, cols: list[str], labelings: dict[str, str], key: str, sample: int | None = None, seed: int = 42, distance: str = "euclidean"
 ) -> DataFrame:
-    """(labeling, silhouette): the mean of ``silhouette_values`` for several label columns."""
-    rows = _silhouette(df, cols, labelings, key, sample, seed) if sample else _squared(df, cols, labelings, key)
+    """(labeling, silhouette): the mean of ``silhouette_values`` for several label columns, which share the distances."""
+    rows = _scored(df, cols, labelings, key, sample, seed, distance)
     return rows.groupBy("labeling").agg(F.avg("silhouette").alias("silhouette"))
 
 
-def _squared(df: DataFrame, cols: list[str], labelings: dict[str, str], key: str) -> DataFrame:
-    """(labeling, key, label, silhouette): linear in the rows.
+def _scored(df, cols, labelings, key, sample, seed, distance):
+    if distance == "squared":
+        return _squared(df, cols, labelings, key)
+    if distance != "euclidean":
+        raise ValueError(f"unknown distance {distance!r}")
+    return _tiled(sample_rows(df, key, sample, seed) if sample else df, cols, labelings, key)
 
-    The mean squared distance from a row to a cluster follows from the cluster's size, sums and sum of squares; these are
-    one row per cluster and labeling, taken about the overall mean.
-    """
-    kinds = dict(df.dtypes)
-    first = next(iter(labelings.values()))
+
+#: Rows of a block; a tile compares two blocks, part by part.
+BLOCK, PART = 8_192, 512
+
+
+def _cluster_sums(df: DataFrame, cols: list[str], labelings: dict[str, str]) -> tuple[np.ndarray, dict[str, tuple]]:
+    """The overall mean, and per labeling: labels, sizes, sums of squares and sums about that mean, a row for each cluster."""
     middle = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     center = np.array([middle[f"m{i}"] or 0.0 for i in range(len(cols))])
     shifted = [F.col(c) - F.lit(float(m)) for c, m in zip(cols, center)]
     pairs = F.array(*[F.struct(F.lit(name).alias("labeling"), F.col(c).alias("label")) for name, c in labelings.items()])
     norms = add([s * s for s in shifted]).alias("_sq")
     long = df.select(*[s.alias(f"s{i}") for i, s in enumerate(shifted)], norms, F.explode(pairs).alias("p"))
-    sums = long.groupBy("p.labeling", "p.label").agg(F.count("*").alias("n"), F.sum("_sq").alias("sq"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(cols))])
+    found = long.groupBy("p.labeling", "p.label").agg(F.count("*").alias("n"), F.sum("_sq").alias("sq"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(cols))]).collect()
     stats: dict[str, tuple] = {}
-    found = sums.collect()
     for name in labelings:
         mine = sorted((r for r in found if r["labeling"] == name), key=lambda r: r["label"])
         stats[name] = (
@@ -176,6 +187,130 @@ def _squared(df: DataFrame, cols: list[str], labelings: dict[str, str], key: str
             np.array([r["sq"] for r in mine]),
             np.array([[r[f"s{i}"] for i in range(len(cols))] for r in mine]).reshape(len(mine), len(cols)),
         )
+    return center, stats
+
+
+def _undecided(x: np.ndarray, own: np.ndarray, n: np.ndarray, sq: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Rows by clusters: the own one, and those that may be the nearest other one.
+
+    The mean distance to a cluster is at least that to its mean, and at most the root of the mean squared distance.
+    """
+    means = total / n[:, None]
+    square = np.maximum((x * x).sum(axis=1)[:, None] + (means * means).sum(axis=1)[None, :] - 2 * x @ means.T, 0.0)
+    most = np.sqrt(square + np.maximum(sq / n - (means * means).sum(axis=1), 0.0)[None, :])
+    row = np.arange(len(x))
+    most[row, own] = np.inf
+    need = np.sqrt(square) <= most.min(axis=1)[:, None] * (1 + 1e-9) + 1e-9
+    need[row, own] = True
+    return need
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
+    gram = np.maximum(squares - 2 * a @ b.T, 0.0)
+    close = gram < 1e-6 * np.maximum(squares, 1e-300)
+    if close.any():  # cancellation: the very close pairs are computed directly
+        r, c = np.nonzero(close)
+        gram[r, c] = ((a[r] - b[c]) ** 2).sum(axis=1)
+    return np.sqrt(gram)
+
+
+def _tiled(df: DataFrame, cols: list[str], labelings: dict[str, str], key: str) -> DataFrame:
+    """(labeling, key, label, silhouette) from all pairs of rows.
+
+    Rows are dealt over blocks by hash; every pair of blocks is one group, whose distances serve both sides and all
+    labelings. Inside, rows are ordered by their labels, and a pair of parts is passed over if no row of either needs a
+    cluster that the other holds (see ``_undecided``). A row leaves each tile as one row of sums, one for each cluster.
+    """
+    kinds = dict(df.dtypes)
+    first = next(iter(labelings.values()))
+    center, stats = _cluster_sums(df, cols, labelings)
+    names = list(labelings)
+    starts = np.cumsum([0] + [len(stats[n][0]) for n in names])
+    width = int(starts[-1])
+    rows = int(stats[names[0]][1].sum()) if width else 0
+    grid = max(1, -(-rows // BLOCK))
+
+    def codes(frame) -> np.ndarray:
+        """The place of each row's clusters among all clusters of all labelings."""
+        return np.stack([starts[i] + np.searchsorted(stats[n][0], frame[labelings[n]].to_numpy()) for i, n in enumerate(names)], axis=1)
+
+    def needed(x: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return np.hstack([_undecided(x, code[:, i] - starts[i], *stats[n][1:]) for i, n in enumerate(names)])
+
+    def tile(frame):
+        import pandas as pd
+
+        i, j = divmod(int(frame["_tile"].iloc[0]), grid)
+        code = codes(frame)
+        order = np.lexsort((*code.T[::-1], frame["_block"].to_numpy()))
+        frame, code = frame.iloc[order], code[order]
+        x = frame[cols].to_numpy(dtype=float) - center
+        need = needed(x, code)
+        member = np.zeros((len(x), width))
+        member[np.arange(len(x))[:, None], code] = 1.0
+        edge = int(np.searchsorted(frame["_block"].to_numpy(), i, side="right")) if i != j else len(x)
+        sums = np.zeros((len(x), width))
+        left = [(a, min(a + PART, edge)) for a in range(0, edge, PART)]
+        right = left if i == j else [(a, min(a + PART, len(x))) for a in range(edge, len(x), PART)]
+        wants = {p: need[p[0] : p[1]].any(axis=0) for p in {*left, *right}}
+        holds = {p: member[p[0] : p[1]].any(axis=0) for p in {*left, *right}}
+        for p in left:
+            for q in right:
+                if i == j and q < p or not ((wants[p] & holds[q]).any() or (wants[q] & holds[p]).any()):
+                    continue
+                away = _distances(x[p[0] : p[1]], x[q[0] : q[1]])
+                if p == q:
+                    np.fill_diagonal(away, 0.0)
+                sums[p[0] : p[1]] += away @ member[q[0] : q[1]]
+                if p != q:
+                    sums[q[0] : q[1]] += away.T @ member[p[0] : p[1]]
+        out = pd.DataFrame(sums, columns=[f"_sum{c}" for c in range(width)])
+        out.insert(0, "_key", frame[key].to_numpy())
+        return out
+
+    def score(batches):
+        import pandas as pd
+
+        for batch in batches:
+            x = batch[cols].to_numpy(dtype=float) - center
+            code = codes(batch)
+            need = needed(x, code)
+            sums = batch[[f"_sum{c}" for c in range(width)]].to_numpy()
+            row = np.arange(len(x))
+            for i, name in enumerate(names):
+                values, n, _, _ = stats[name]
+                a, b = starts[i], starts[i + 1]
+                own = code[:, i] - a
+                inner = sums[row, code[:, i]] / np.maximum(n[own] - 1, 1)
+                other = np.where(need[:, a:b], sums[:, a:b] / n, np.inf)
+                other[row, own] = np.inf
+                outer = other.min(axis=1) if len(n) > 1 else inner
+                top = np.maximum(inner, outer)
+                s = np.where((n[own] > 1) & (top > 0), (outer - inner) / np.where(top > 0, top, 1), 0.0)
+                yield pd.DataFrame({"labeling": name, "key": batch[key], "label": values[own], "silhouette": s})
+
+    out = f"labeling string, key {kinds[key]}, label {kinds[first]}, silhouette double"
+    if not rows:
+        return df.sparkSession.createDataFrame([], out)
+    chosen = df.select(*dict.fromkeys([key, *cols, *labelings.values()]))
+    block = chosen.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(grid)).cast("int"))
+    to = F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda o: F.least("_block", o) * grid + F.greatest("_block", o))
+    tiles = block.withColumn("_tile", F.explode(to)).repartition(grid * (grid + 1) // 2, "_tile").groupBy("_tile")
+    sums = tiles.applyInPandas(tile, f"_key {kinds[key]}, " + ", ".join(f"_sum{c} double" for c in range(width)))
+    whole = sums.groupBy("_key").agg(*[F.sum(f"_sum{c}").alias(f"_sum{c}") for c in range(width)])
+    return chosen.join(whole, F.col(key) == F.col("_key")).mapInPandas(score, out)
+
+
+def _squared(df: DataFrame, cols: list[str], labelings: dict[str, str], key: str) -> DataFrame:
+    """(labeling, key, label, silhouette): linear in the rows.
+
+    The mean squared distance from a row to a cluster follows from the cluster's size, sums and sum of squares; these are
+    one row per cluster and labeling, taken about the overall mean.
+    """
+    kinds = dict(df.dtypes)
+    first = next(iter(labelings.values()))
+    center, stats = _cluster_sums(df, cols, labelings)
 
     def score(batches):
         import pandas as pd
@@ -199,54 +334,6 @@ def _squared(df: DataFrame, cols: list[str], labelings: dict[str, str], key: str
     return df.select(*chosen).mapInPandas(score, f"labeling string, key {kinds[key]}, label {kinds[first]}, silhouette double")
 
 
-def _silhouette(df, cols, labelings, key, sample, seed):
-    picked = sample_rows(df.select(key, *cols, *labelings.values()), key, sample, seed)
-    spark = df.sparkSession
-    rows = picked.toPandas()
-    points = rows[cols].to_numpy(dtype=float)
-    codes = {name: np.unique(rows[c].to_numpy(), return_inverse=True) for name, c in labelings.items()}
-    shared = spark.sparkContext.broadcast((points, {name: (values, inv) for name, (values, inv) in codes.items()}))
-    names = list(labelings)
-
-    def score(batches):
-        import pandas as pd
-
-        pts, all_codes = shared.value
-        sq = (pts * pts).sum(axis=1)
-        for batch in batches:
-            at = batch["position"].to_numpy()
-            mine = pts[at]
-            gram = np.maximum((mine * mine).sum(axis=1)[:, None] + sq[None, :] - 2 * mine @ pts.T, 0.0)
-            exact = gram < 1e-6 * np.maximum(sq.max(), 1e-300)
-            if exact.any():  # cancellation: recompute the very close pairs directly
-                r, c = np.nonzero(exact)
-                gram[r, c] = ((mine[r] - pts[c]) ** 2).sum(axis=1)
-            dist = np.sqrt(gram)
-            for name in names:
-                values, inv = all_codes[name]
-                k = len(values)
-                member = np.zeros((len(inv), k))
-                member[np.arange(len(inv)), inv] = 1.0
-                size = member.sum(axis=0)
-                sums = dist @ member
-                own = inv[at]
-                row = np.arange(len(at))
-                a = sums[row, own] / np.maximum(size[own] - 1, 1)
-                other = sums / size
-                other[row, own] = np.inf
-                b = other.min(axis=1) if k > 1 else a
-                top = np.maximum(a, b)
-                s = np.where((size[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
-                yield pd.DataFrame({"labeling": name, "key": batch["key"], "label": values[own], "silhouette": s})
-
-    kinds = dict(picked.dtypes)
-    first = next(iter(labelings.values()))
-    ids = spark.createDataFrame(
-        [(int(i), k) for i, k in enumerate(rows[key].tolist())], f"position int, key {kinds[key]}"
-    ).repartition(max(1, min(64, len(rows) // 200 + 1)))
-    return ids.mapInPandas(score, f"labeling string, key {kinds[key]}, label {kinds[first]}, silhouette double")
-
-
 def adjusted_rand(pairs: DataFrame, a: str, b: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """(by…, ari) from the pair counts of the contingency table; ``weight`` counts rows already combined."""
     by = by or []

@@ -146,10 +146,11 @@ def test_metrics_against_brute_force(spark):
         b = min(dist[i][lab == c].mean() for c in set(lab) if c != lab[i])
         return (b - a) / max(a, b)
 
-    got = metrics.silhouette_values(df, list("abc"), "label", "id", sample=5_000).toPandas().set_index("id").silhouette
-    assert max(abs(got[i] - sil(i)) for i in range(400)) < 1e-9
+    for sample in (5_000, None):
+        got = metrics.silhouette_values(df, list("abc"), "label", "id", sample=sample).toPandas().set_index("id").silhouette
+        assert len(got) == 400 and max(abs(got[i] - sil(i)) for i in range(400)) < 1e-9
     dist = dist**2
-    got = metrics.silhouette_values(df, list("abc"), "label", "id").toPandas().set_index("id").silhouette
+    got = metrics.silhouette_values(df, list("abc"), "label", "id", distance="squared").toPandas().set_index("id").silhouette
     assert len(got) == 400 and max(abs(got[i] - sil(i)) for i in range(400)) < 1e-9
     q = metrics.partition_quality(df, list("abc"), "label").first()
     cs = {c: x[lab == c].mean(axis=0) for c in set(lab)}
@@ -217,6 +218,29 @@ def test_spearman_ranks_complete_pairs(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_silhouette_over_many_blocks(spark, monkeypatch):
+    """Separate groups, so that parts are passed over; repeated points; clashing column names."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(330, 2)) + 1e4 + np.repeat(np.arange(6), 55)[:, None] * 30
+    x[5] = x[6] = x[7]
+    labels = {"k6": np.repeat(np.arange(6), 55), "k2": np.repeat([0, 1], 165), "one": np.zeros(330, int)}
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = {}
+    for name, lab in labels.items():
+        size = np.bincount(lab)
+        means = np.stack([dist[:, lab == c].sum(axis=1) for c in range(len(size))], axis=1) / size
+        own = means[np.arange(330), lab] * size[lab] / (size[lab] - 1)
+        means[np.arange(330), lab] = np.inf
+        other = means.min(axis=1) if len(size) > 1 else own
+        want[name] = ((other - own) / np.maximum(own, other)).mean()
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["s0", "key"]).assign(id=range(330), **labels)).repartition(7)
+    monkeypatch.setattr(metrics, "BLOCK", 60)
+    monkeypatch.setattr(metrics, "PART", 16)
+    got = metrics.silhouette_by_labeling(df, ["s0", "key"], {n: n for n in labels}, "id").collect()
+    assert {r.labeling: r.silhouette for r in got} == pytest.approx(want, abs=1e-9)
+    assert metrics.silhouette_by_labeling(df.limit(0), ["s0", "key"], {"k6": "k6"}, "id").collect() == []
+
+
 def test_silhouette_returns_every_row(spark):
     df = spark.range(30_000).select("id", (F.col("id") % 3).alias("label"), *[((F.col("id") * p) % 101 + (F.col("id") % 3) * 40).cast("double").alias(f"x{p}") for p in (7, 13)])
     out = metrics.silhouette_values(df, ["x7", "x13"], "label", "id")
