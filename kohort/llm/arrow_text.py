@@ -6,6 +6,7 @@ itself, so the memory of a task does not follow its partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,11 +62,20 @@ def small_batches(spark, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def release() -> None:
+    """Give memory that is free again back to the system; workers live on beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def portions(batches, rows: int = 500):
     """The batches in pieces of a few rows, for work that makes Python objects of them."""
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
+    release()
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +98,8 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, side="right")) - 1)
         yield a, b, raw[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
+    if n > 100:
+        release()
 
 
 def prefix_hash(raw: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
