@@ -62,6 +62,14 @@ def small_batches(spark, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until no column in ``taken`` is called so."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def release() -> None:
     """Give memory that is free again back to the system; workers live on beside the next stage's."""
     pa.default_memory_pool().release_unused()

@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from kohort.llm.arrow_text import slices, small_batches
+from kohort.llm.arrow_text import slices, small_batches, unused
 from kohort.llm.pieces import MAX_ENTRIES, SLICE, PieceTable, gather
 
 MAX_STEPS = 80_000
@@ -331,7 +331,7 @@ def encode_texts(docs: DataFrame, rank_path: str, pattern: str, text: str = "tex
     """
     small_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (out, "n_tokens")]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(unused("_text", keep)))
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
 
     def run(batches):

@@ -69,7 +69,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], model: LogisticRe
     """``pages`` with host, path, rule, score (the model's probability of a block) and verdict."""
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
     host, path = parts(url)
-    scored = model.transform(featured(pages.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), path.alias("path"))))
+    # the caller's columns travel in one, so that none is called as a column of the model
+    row = F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(1).alias("none")])
+    scored = model.transform(featured(pages.select(row.alias("_row"), host.alias("host"), path.alias("path"))))
     out = scored.withColumn("_rule", rule_column(rules)).withColumn("score", vector_to_array("probability").getItem(1))
     verdict = F.coalesce("_rule.verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
-    return out.select(*[F.col(f"`{c}`") for c in keep], "host", "path", F.col("_rule.rule").alias("rule"), "score", verdict.alias("verdict"))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in keep], "host", "path", F.col("_rule.rule").alias("rule"), "score", verdict.alias("verdict"))
