@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kohort import fixed_values as fv
 from kohort.checks.base import SEG_SQL, c360, query, rnd, segmented, staged, table
-from kohort.operators import kmeans as km, metrics as M, profiles as P, scoring, selection
+from kohort.operators import kmeans as km, metrics as M, mixture as gmm, profiles as P, scoring, selection, ward
 from kohort.operators.dedup import has_distinct_rows
 from kohort.session import shared_folder
 
@@ -260,6 +261,58 @@ def fit_kmeans(spark, folder):
     return km.assign(df, fv.FORMING, centers).groupBy("Segment").agg(F.count("*").alias("rows"))
 
 
+@query("k2_gaussian_mixture")
+def mixture(spark, folder):
+    df = _matrix(spark, folder)
+    model = gmm.gaussian_mixture(df, fv.FORMING, 4, "ID")
+    rows = gmm.assign_mixture(df, fv.FORMING, model).groupBy("component")
+    return rows.agg(F.count("*").alias("rows"), rnd(F.avg("component_probability"), 3).alias("probability"), rnd(F.avg("component_log_likelihood"), 3).alias("log_likelihood"))
+
+
+@query("k3_ward")
+def hierarchy(spark, folder):
+    df = _matrix(spark, folder)
+    return ward.assign_ward(df, fv.FORMING, ward.fit_ward(df, fv.FORMING), 4).groupBy("cluster").agg(F.count("*").alias("rows"))
+
+
+_MIXTURE_START = [(0.5, 9.5, 1.5, 1.0, 0.0, 1.0), (0.5, 10.8, 3.8, 1.0, 0.0, 1.0)]  # weight, means, variance, covariance, variance
+_SCANS = 3
+
+
+def _mixture_sql() -> str:
+    """Scans of a mixture of two columns, one after another."""
+    start = ", ".join(f"({j}, {', '.join(map(str, p))})" for j, p in enumerate(_MIXTURE_START))
+    parts = [
+        "WITH pts AS (SELECT row_number() OVER () AS id, ln(CAST(l_extendedprice AS DOUBLE)) AS x, CAST(l_quantity AS DOUBLE) / 10 AS y FROM lineitem)",
+        f"p0 AS (SELECT CAST(j AS BIGINT) AS j, CAST(w AS DOUBLE) AS w, CAST(mx AS DOUBLE) AS mx, CAST(my AS DOUBLE) AS my, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c FROM (VALUES {start}) t(j, w, mx, my, a, b, c))",
+    ]
+    for i in range(_SCANS):
+        parts += [
+            f"""d{i} AS (SELECT id, x, y, j, w / (2 * pi() * sqrt(a * c - b * b))
+  * exp(-0.5 * (c * pow(x - mx, 2) - 2 * b * (x - mx) * (y - my) + a * pow(y - my, 2)) / (a * c - b * b)) AS d FROM pts, p{i})""",
+            f"r{i} AS (SELECT x, y, j, d / sum(d) OVER (PARTITION BY id) AS r FROM d{i})",
+            f"m{i} AS (SELECT j, sum(r) AS n, sum(r * x) / sum(r) AS mx, sum(r * y) / sum(r) AS my FROM r{i} GROUP BY j)",
+            f"""p{i + 1} AS (SELECT j, n / sum(n) OVER () AS w, mx, my, a / n + 1e-6 AS a, b / n AS b, c / n + 1e-6 AS c FROM (
+  SELECT j, n, mx, my, sum(r * pow(x - mx, 2)) AS a, sum(r * (x - mx) * (y - my)) AS b, sum(r * pow(y - my, 2)) AS c FROM r{i} JOIN m{i} USING (j) GROUP BY j, n, mx, my))""",
+        ]
+    values = ", ".join(f"round({c}, 6) AS {n}" for c, n in zip(["w", "mx", "my", "a", "b", "c"], ["weight", "mean_x", "mean_y", "var_x", "cov_xy", "var_y"]))
+    likelihood = f"SELECT round(avg(ln(d)), 6) FROM (SELECT sum(d) AS d FROM d{_SCANS - 1} GROUP BY id)"
+    return ", ".join(parts) + f" SELECT j AS component, {values}, ({likelihood}) AS log_likelihood FROM p{_SCANS}"
+
+
+@query("k2_mixture_scans", _mixture_sql())
+def mixture_scans(spark, folder):
+    df = table(spark, folder, "lineitem").select(F.log(F.col("l_extendedprice").cast("double")).alias("x"), (F.col("l_quantity").cast("double") / 10).alias("y"))
+    start = np.array(_MIXTURE_START)
+    model = gmm.Mixture(start[:, 0], start[:, 1:3], start[:, [3, 4, 4, 5]].reshape(-1, 2, 2))
+    (model,) = gmm.fit_mixtures(df, ["x", "y"], [model], tol=0, max_iter=_SCANS)
+    rows = [
+        (j, *[round(float(v), 6) for v in (w, *m, c[0, 0], c[0, 1], c[1, 1], model.log_likelihood)])
+        for j, (w, m, c) in enumerate(zip(model.weights, model.means, model.covariances))
+    ]
+    return spark.createDataFrame(rows, "component long, weight double, mean_x double, mean_y double, var_x double, cov_xy double, var_y double, log_likelihood double")
+
+
 @query("k4_compare_algorithms")
 def algorithms(spark, folder):
     return selection.compare_algorithms(_matrix(spark, folder), fv.FORMING, 4, "ID")

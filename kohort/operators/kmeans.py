@@ -189,33 +189,39 @@ def fit_runs(
     schema = "run int, cluster int, " + ", ".join(f"{c} double" for c in names)
     selected = df.select(*cols, *([mask] if mask else []))
     tasks = task_count(selected)
-    selected = spread(selected)
+    dealt = spread(selected)
+    if dealt is not selected:  # else every iteration would deal the rows anew
+        dealt.persist()
     # the sums of a few tasks can be added here; those of many tasks are added by the cluster first
     cores = df.sparkSession.sparkContext.defaultParallelism
     few_tasks = tasks is not None and max(tasks, cores) <= DIRECT_TASKS
-    for _ in itertools.count() if max_iter is None else range(max_iter):
-        active = [(i, r.centers, r.member) for i, r in enumerate(runs) if not r.done]
-        if not active:
-            break
-        sums = selected.mapInPandas(_partial_sums(active, cols, mask), schema)
-        if not few_tasks:
-            sums = sums.groupBy("run", "cluster").agg(*[F.sum(c).alias(c) for c in names])
-        rows = sums.toPandas()
-        start = {i: at for (i, _, _), at in zip(active, np.cumsum([0] + [len(c) for _, c, _ in active]))}
-        old = np.vstack([c for _, c, _ in active])
-        owner = np.repeat([i for i, _, _ in active], [len(c) for _, c, _ in active])
-        at = rows["run"].map(start).to_numpy() + rows["cluster"].to_numpy()
-        total = np.zeros((len(old), width + 2))
-        np.add.at(total, at, rows[names].to_numpy())
-        seen = total[:, width] > 0
-        fresh = np.where(seen[:, None], total[:, :width] / np.where(seen, total[:, width], 1)[:, None], old)
-        moved = np.bincount(owner, ((fresh - old) ** 2).sum(axis=1), minlength=len(runs))
-        cost = np.bincount(owner, total[:, width + 1], minlength=len(runs))
-        for i, centers, _ in active:
-            r = runs[i]
-            r.centers = fresh[start[i] : start[i] + len(centers)]
-            r.inertia = float(cost[i])  # cost of the centres used for this assignment
-            r.done = not moved[i] > scale
+    try:
+        for _ in itertools.count() if max_iter is None else range(max_iter):
+            active = [(i, r.centers, r.member) for i, r in enumerate(runs) if not r.done]
+            if not active:
+                break
+            sums = dealt.mapInPandas(_partial_sums(active, cols, mask), schema)
+            if not few_tasks:
+                sums = sums.groupBy("run", "cluster").agg(*[F.sum(c).alias(c) for c in names])
+            rows = sums.toPandas()
+            start = {i: at for (i, _, _), at in zip(active, np.cumsum([0] + [len(c) for _, c, _ in active]))}
+            old = np.vstack([c for _, c, _ in active])
+            owner = np.repeat([i for i, _, _ in active], [len(c) for _, c, _ in active])
+            at = rows["run"].map(start).to_numpy() + rows["cluster"].to_numpy()
+            total = np.zeros((len(old), width + 2))
+            np.add.at(total, at, rows[names].to_numpy())
+            seen = total[:, width] > 0
+            fresh = np.where(seen[:, None], total[:, :width] / np.where(seen, total[:, width], 1)[:, None], old)
+            moved = np.bincount(owner, ((fresh - old) ** 2).sum(axis=1), minlength=len(runs))
+            cost = np.bincount(owner, total[:, width + 1], minlength=len(runs))
+            for i, centers, _ in active:
+                r = runs[i]
+                r.centers = fresh[start[i] : start[i] + len(centers)]
+                r.inertia = float(cost[i])  # cost of the centres used for this assignment
+                r.done = not moved[i] > scale
+    finally:
+        if dealt is not selected:
+            dealt.unpersist()
     return runs
 
 

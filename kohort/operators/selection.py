@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kohort import fixed_values as fv
 from kohort.operators import kmeans as km
 from kohort.operators.metrics import adjusted_rand, partition_quality, sample_rows, silhouette_by_labeling
-from kohort.operators.reshape import assemble
+from kohort.operators.mixture import assign_mixture, gaussian_mixture
+from kohort.operators.ward import assign_ward, fit_ward
 from kohort.session import spread
 
 
@@ -171,28 +171,23 @@ def _stability(sample, cols, ks, best, refits, runs):
 def compare_algorithms(
     df: DataFrame, cols: list[str], k: int, key: str, n_init: int = 20, rules: dict = fv.RULES, start=None
 ) -> DataFrame:
-    """Quality of K-Means, Gaussian mixture and a hierarchical (bisecting) clustering on the same rows.
+    """Quality of K-Means, Gaussian mixture and Ward's hierarchy on the same rows.
 
     ``start`` gives K-Means the winning centres of an earlier scan instead of fresh restarts."""
     seed = rules["seed"]
     sample = scan_rows(df, cols, key, rules["k_scan_sample"], seed).persist()
     try:
         centers = km.kmeans(sample, cols, k, key, n_init, seed, start=start)
-        vectors = assemble(sample, cols)
-        # converged when the mean log-likelihood per row gains less than 0.001; the built-in criterion is on the sum
-        tol = 1e-3 * max(sample.count(), 1)
-        mixture = GaussianMixture(k=k, tol=tol, predictionCol="gmm", probabilityCol="_p")
-        mixtures = [mixture.setSeed(seed + i).fit(vectors) for i in range(3)]
-        mixture = max(mixtures, key=lambda m: m.summary.logLikelihood)
-        tree = BisectingKMeans(k=k, seed=seed, predictionCol="tree").fit(vectors)
-        labeled = tree.transform(mixture.transform(km.assign(vectors, cols, centers, "kmeans"))).select(key, *cols, "kmeans", "gmm", "tree")
+        labeled = km.assign(sample.select(key, *cols), cols, centers, "kmeans")
+        labeled = assign_mixture(labeled, cols, gaussian_mixture(sample, cols, k, key, seed=seed), "gmm")
+        labeled = assign_ward(labeled, cols, fit_ward(sample, cols), k, "tree").select(key, *cols, "kmeans", "gmm", "tree")
         names = {1: "kmeans", 2: "gmm", 3: "tree"}
         scored = score_labelings(labeled, cols, names, key, rules["silhouette_sample"], seed).collect()
     finally:
         sample.unpersist()
-    titles = {1: "K-Means", 2: "Gaussian Mixture", 3: "Bisecting K-Means (hierarchical)"}
+    titles = {1: "K-Means", 2: "Gaussian Mixture", 3: "Agglomerative (Ward)"}
     rows = [
-        (titles[r["k"]], r["silhouette"], r["calinski_harabasz"], r["davies_bouldin"], r["min_segment_share"], True)
+        (titles[r["k"]], r["silhouette"], r["calinski_harabasz"], r["davies_bouldin"], r["min_segment_share"], r["k"] != 3)
         for r in sorted(scored, key=lambda r: r["k"])
     ]
     return df.sparkSession.createDataFrame(

@@ -57,8 +57,8 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
 
 
 def task_count(df: DataFrame) -> int | None:
-    """Number of tasks that read ``df``, or None behind a shuffle, where asking would run it."""
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    """Number of tasks that read ``df``, or None behind a shuffle, where asking would run it. What is persisted is read as it is kept."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]:
         return None
     return df.rdd.getNumPartitions()
 

@@ -11,7 +11,7 @@ from kohort.checks import REGISTRY
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CORE = """a1_read_delimited a9_sanitize_text b1_to_number b3_parse_date b6_canonical_label c1_decode_one_hot c8_crosstab_share d6_compare_numeric
 d9_record_warnings e6_customer_360 g2_table_profile g4_column_stats g9_zscore_profile g11_segment_profiles g13_cramers_v g36_spearman
-j2_silhouette j6_adjusted_rand l1_archetype_scores l2_name_segments m4_analyze_text p3_winsorizer r3_predict s2_drop_duplicate_ids
+j2_silhouette j6_adjusted_rand k2_mixture_scans l1_archetype_scores l2_name_segments m4_analyze_text p3_winsorizer r3_predict s2_drop_duplicate_ids
 s3_fill_missing_ids w1_rank_pct""".split()
 NAMES = [n for n, (_, sql) in REGISTRY.items() if sql and (n in CORE or os.environ.get("ALL_ORACLES"))]
 
