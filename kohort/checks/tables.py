@@ -158,6 +158,22 @@ def crosstab(spark, folder):
     return out.select("row", "level", rnd("share").alias("share"))
 
 
+_AGE_SHARES = ", ".join(f"""round(coalesce(100.0 * count(*) FILTER (WHERE Age_Band = '{a}') / nullif(count(Age_Band), 0), 0.0), 6) AS "{a}\"""" for a in fv.AGE_LABELS)
+
+
+@query("c8_crosstab_wide", f"{SEG_SQL} SELECT Segment AS row, {_AGE_SHARES} FROM seg WHERE Age_Band IS NOT NULL GROUP BY Segment")
+def crosstab_wide(spark, folder):
+    out = reshape.crosstab_wide(segmented(spark, folder), "Segment", "Age_Band", fv.AGE_LABELS)
+    return out.select("row", *[rnd(F.col(f"`{a}`")).alias(a) for a in fv.AGE_LABELS])
+
+
+@query("w2_file_order", "SELECT count(*) AS rows, count(*) AS positions, 0 AS first, count(*) - 1 AS last FROM lineitem")
+def file_order(spark, folder):
+    rows = readers.with_row_order(table(spark, folder, "lineitem"))
+    at = F.col(fv.ROW_ORDER)
+    return rows.agg(F.count("*").alias("rows"), F.count_distinct(at).alias("positions"), F.min(at).alias("first"), F.max(at).alias("last"))
+
+
 @query("c8_crosstab_top", """WITH n AS (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY ALL),
 top AS (SELECT p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 8),
 s AS (SELECT p_type AS row, p_brand AS level, round(100.0 * n / sum(n) OVER (PARTITION BY p_type), 6) AS share FROM n)

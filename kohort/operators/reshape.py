@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kohort import fixed_values as fv
 from kohort.functions.scalars import is_numeric, parse_date, to_number
+from kohort.sources.readers import with_row_order
 
 
 def _active(cols: list[str], prefix: str) -> Column:
@@ -66,8 +67,14 @@ def find_one_hot_groups(df: DataFrame) -> dict[str, list[str]]:
     return {p: cs for i, (p, cs) in enumerate(candidates.items()) if (most[f"m{i}"] or 0) <= 1}
 
 
-def to_canonical(df: DataFrame) -> DataFrame:
-    """Canonical customer frame: dummies decoded, enrolment date parsed, optional columns present."""
+def to_canonical(df: DataFrame, ordered: bool = True) -> DataFrame:
+    """Canonical customer frame: dummies decoded, enrolment date parsed, optional columns present.
+
+    Rows get their load order, and without an ID column the IDs 1 to n in that order. With ``ordered`` false rows that have an ID
+    column are not numbered, for uses that keep no first row, such as scoring.
+    """
+    if fv.ROW_ORDER not in df.columns and (ordered or fv.ID not in [c.strip() for c in df.columns]):
+        df = with_row_order(df)
     df = df.toDF(*[c.strip() for c in df.columns])
     for prefix, baseline in fv.ONE_HOT_BASELINES.items():
         df = decode_one_hot(df, prefix, baseline)
@@ -75,8 +82,6 @@ def to_canonical(df: DataFrame) -> DataFrame:
     if missing:
         raise ValueError(f"Input data is missing required columns: {missing}")
     kinds = dict(df.dtypes)
-    if fv.ROW_ORDER not in df.columns:
-        df = df.withColumn(fv.ROW_ORDER, F.monotonically_increasing_id())
     if fv.ENROLLED in kinds:
         enrolled = parse_date(F.col(fv.ENROLLED), kinds[fv.ENROLLED])
     else:

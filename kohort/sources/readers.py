@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from kohort.fixed_values import ROW_ORDER
+from kohort.session import stage_table
 
 EXTENSIONS = {"csv": "delimited", "tsv": "delimited", "txt": "delimited", "json": "json", "jsonl": "lines", "ndjson": "lines"}
 WRAPPERS = ["data", "customers", "records", "rows", "items"]
@@ -17,11 +19,32 @@ class UnreadableTable(ValueError):
 def with_row_order(df: DataFrame, key: str | None = None) -> DataFrame:
     """Add the explicit load order that keep-first rules refer to.
 
-    ``key`` names an increasing, unique integer column when the table has one. Otherwise the order is file
-    split and position within it, which is the same each time the same files are read.
+    ``key`` names an increasing, unique integer column when the table has one. Otherwise rows are numbered from 0 without gaps: files
+    in order of their paths, parts of a file by where they start, rows as they stand. How the parts are dealt over tasks does not
+    matter. Frames that are not read straight from files are written first, which fixes their order. An empty table stays empty, and
+    a column of this name is replaced.
+
+    Rows are counted by part in a first pass; the counts, one row per part, are added up within files and then over files.
     """
-    order = F.col(key).cast("long") if key else F.monotonically_increasing_id()
-    return df.withColumn(ROW_ORDER, order)
+    keep = [F.col(f"`{c}`") for c in df.columns if c != ROW_ORDER]
+    if key:
+        return df.withColumn(ROW_ORDER, F.col(key).cast("long"))
+    mark = "_".join(["mark", *df.columns])
+    place = F.monotonically_increasing_id()
+    try:
+        marked = df.select(*keep, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), place.alias("place")).alias(mark))
+    except AnalysisException:  # no files behind these rows
+        written = stage_table(df.select(*keep, place.alias(mark)), "ordered")
+        marked = written.withColumn(mark, F.struct(F.lit("").alias("file"), F.shiftright(F.col(f"`{mark}`"), 33).alias("start"), F.col(f"`{mark}`").alias("place")))
+    at = lambda field: F.col(f"`{mark}`.{field}")
+    parts = marked.groupBy(at("file").alias("_file"), at("start").alias("_start")).agg(F.min(at("place")).alias("_first"), F.count("*").alias("_n"))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = parts.groupBy("_file").agg(F.sum("_n").alias("_n"))
+    files = files.select(F.col("_file").alias("_of"), earlier(Window.orderBy("_file")).alias("_before"))  # one row per file
+    parts = parts.withColumn("_within", earlier(Window.partitionBy("_file").orderBy("_start"))).join(files, F.col("_file") == F.col("_of"))
+    offsets = parts.select("_file", "_start", (F.col("_before") + F.col("_within") - F.col("_first")).alias(f"{mark}_offset"))
+    rows = marked.join(offsets, (at("file") == F.col("_file")) & (at("start") == F.col("_start")))
+    return rows.select(*keep, (at("place") + F.col(f"`{mark}_offset`")).alias(ROW_ORDER))
 
 
 def _trimmed(df: DataFrame) -> DataFrame:
