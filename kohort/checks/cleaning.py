@@ -150,6 +150,29 @@ def bounds(spark, folder):
     return filters.bounds_check(df, allowed=["ID", *fv.RECORD_BOUNDS]).select("ID", "violations")
 
 
+_RECORD_SQL = ", ".join(
+    [f"CASE WHEN {c} IS NULL OR {c} < {lo} OR {c} > {hi} THEN '{c}' END" if c != "Income" else f"CASE WHEN {c} < {lo} OR {c} > {hi} THEN '{c}' END" for c, (lo, hi) in fv.RECORD_BOUNDS.items()]
+    + [f"CASE WHEN {c} NOT IN (0, 1) THEN '{c}' END" for c in fv.FLAGS]
+    + [f"CASE WHEN {c} NOT IN ({', '.join(repr(v) for v in labels)}) THEN '{c}' END" for c, labels in fv.RECORD_LABELS.items()]
+    + ["CASE WHEN Dt_Customer IS NULL THEN 'Dt_Customer' END"]
+)
+
+
+@query("d10_record_violations", f"""{C360_SQL}, damaged AS (SELECT * REPLACE (CASE WHEN ID % 5 = 0 THEN 2 WHEN ID % 7 = 0 THEN NULL ELSE AcceptedCmp1 END AS AcceptedCmp1,
+  CASE WHEN ID % 9 = 0 THEN 'Diploma' WHEN ID % 11 = 0 THEN NULL ELSE Education END AS Education, CASE WHEN ID % 13 = 0 THEN NULL ELSE Year_Birth END AS Year_Birth) FROM c360)
+SELECT ID, concat_ws('|', {_RECORD_SQL}) AS violations FROM damaged""")
+def record_violations(spark, folder):
+    every = lambda n: F.col("ID") % n == 0
+    df = c360(spark, folder).withColumns(
+        {
+            "AcceptedCmp1": F.when(every(5), 2.0).when(every(7), None).otherwise(F.col("AcceptedCmp1")),
+            "Education": F.when(every(9), "Diploma").when(every(11), None).otherwise(F.col("Education")),
+            "Year_Birth": F.when(every(13), None).otherwise(F.col("Year_Birth")),
+        }
+    )
+    return filters.record_violations(df).select("ID", "violations")
+
+
 _GAPS = "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer"
 
 

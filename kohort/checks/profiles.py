@@ -8,7 +8,7 @@ from kohort import fixed_values as fv
 from kohort.checks.base import MOMENTS_SQL, SEG_SQL, Z_SQL, c360, query, rnd, segmented, table
 from kohort.operators import profiles as P, quality
 from kohort.operators.naming import rfm_personas
-from kohort.operators.ranking import compare_segments, over_indexed, preferred_channel, superlative, top_traits
+from kohort.operators.ranking import compare_segments, over_indexed, preferred_channel, superlative, superlative_answers, top_traits
 
 _CUST_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 _GAP_SQL = "gaps AS (SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 13 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer)"
@@ -285,6 +285,25 @@ def best(spark, folder):
     return superlative(P.segment_profiles(segmented(spark, folder)), "deal", lowest=True)
 
 
+_WORDS = list(fv.METRIC_WORDS)
+_ASKED = ["Which segment has the highest", "What group is the LOWEST by", "Tell me about"]  # the last asks for nothing
+_LONG = " UNION ALL ".join(f"""SELECT '{m}' AS metric, Segment, Segment_Name, CAST("{m}" AS DOUBLE) AS value FROM profiles""" for m in sorted(set(fv.METRIC_WORDS.values())))
+
+
+@query("w8_superlative_answers", f"""{PROFILES_SQL}, words AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{w}', '{m}')" for i, (w, m) in enumerate(fv.METRIC_WORDS.items()))}) t(pos, word, metric)),
+asked AS (SELECT c_custkey, c_custkey % 3 AS form, CASE c_custkey % 3 WHEN 0 THEN '{_ASKED[0]}' WHEN 1 THEN '{_ASKED[1]}' ELSE '{_ASKED[2]}' END || ' ' || word AS said FROM customer JOIN words ON pos = c_custkey % {len(_WORDS)}),
+meant AS (SELECT c_custkey, arg_min(metric, pos) AS metric, any_value(regexp_matches(lower(said), '{"|".join(fv.LOWEST_WORDS)}')) AS lowest FROM asked JOIN words ON contains(lower(said), word) WHERE form < 2 GROUP BY c_custkey),
+long AS ({_LONG}), ends AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value, Segment) AS up, row_number() OVER (PARTITION BY metric ORDER BY value DESC, Segment) AS down FROM long)
+SELECT c_custkey, said AS question, coalesce(m.metric, 'none') AS metric, coalesce(CAST(lowest AS BIGINT), -1) AS lowest, coalesce(e.Segment, -1) AS Segment, coalesce(e.Segment_Name, 'none') AS Segment_Name, coalesce(e.value, -1.0) AS value FROM asked LEFT JOIN meant m USING (c_custkey)
+LEFT JOIN ends e ON e.metric = m.metric AND CASE WHEN lowest THEN up ELSE down END = 1""")
+def answers(spark, folder):
+    key = F.col("c_custkey")
+    pick = lambda words, n: F.get(F.array(*[F.lit(w) for w in words]), (key % n).cast("int"))
+    asked = table(spark, folder, "customer").select(key, F.concat_ws(" ", pick(_ASKED, 3), pick(_WORDS, len(_WORDS))).alias("question"))
+    out = superlative_answers(asked, "question", P.segment_profiles(segmented(spark, folder))).withColumn("lowest", F.col("lowest").cast("int"))
+    return out.fillna("none", ["metric", "Segment_Name"]).fillna(-1, ["lowest", "Segment", "value"])
+
+
 @query("w9_compare_segments", f"{PROFILES_SQL} " + " UNION ALL ".join(f"""SELECT '{m}' AS metric, max(CASE WHEN Segment = 0 THEN "{m}" END) AS segment_0, max(CASE WHEN Segment = 3 THEN "{m}" END) AS segment_3 FROM profiles""" for m in fv.COMPARE_METRICS))
 def compare(spark, folder):
     return compare_segments(P.segment_profiles(segmented(spark, folder)), [0, 3])

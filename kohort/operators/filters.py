@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kohort import fixed_values as fv
-from kohort.functions.scalars import is_numeric, row_sum
+from kohort.functions.scalars import is_numeric, parse_date, row_sum
 
 COMPARE = {
     ">": lambda a, b: a > b,
@@ -131,3 +131,27 @@ def bounds_check(df: DataFrame, bounds: dict | None = None, allowed: list[str] |
         F.when((F.col(c) < lo) | (F.col(c) > hi), F.lit(c)) for c, (lo, hi) in bounds.items() if c in df.columns
     ]
     return df.withColumn("violations", F.array_compact(F.array(*broken)))
+
+
+def record_violations(df: DataFrame) -> DataFrame:
+    """Adds ``violations``: the fields of the 26 of a customer record whose value a record may not hold, in the record's order.
+
+    Numbers have inclusive bounds, flags are 0 or 1, labels come from their lists, and the enrolment date can be read as one. An
+    empty income, flag or label is fine, as it has a default; any other empty field is a violation, and so is one whose column is
+    missing. NaN is out of bounds. Other columns pass through.
+    """
+    kinds = dict(df.dtypes)
+    number = lambda c: F.col(c).cast("double") if kinds[c] != "string" else F.col(c).try_cast("double")
+    fine = {c: number(c).between(lo, hi) for c, (lo, hi) in fv.RECORD_BOUNDS.items() if c in kinds}
+    fine |= {c: number(c).isin(0.0, 1.0) for c in fv.FLAGS if c in kinds}
+    fine |= {c: F.col(c).isin(*labels) for c, labels in fv.RECORD_LABELS.items() if c in kinds}
+    if fv.ENROLLED in kinds:
+        fine[fv.ENROLLED] = parse_date(F.col(fv.ENROLLED), kinds[fv.ENROLLED]).isNotNull()
+    broken = []
+    for c in [*fv.RECORD_BOUNDS, *fv.FLAGS, *fv.RECORD_LABELS, fv.ENROLLED]:
+        if c in fine:
+            ok = F.coalesce(fine[c], F.lit(False))
+            broken.append(F.when(~(ok | F.col(c).isNull() if c in fv.RECORD_MAY_BE_EMPTY else ok), F.lit(c)))
+        elif c not in kinds and c not in fv.RECORD_MAY_BE_EMPTY:
+            broken.append(F.lit(c))
+    return df.withColumn("violations", F.array_compact(F.array(*broken)))

@@ -62,6 +62,31 @@ def superlative(profiles: DataFrame, word: str, lowest: bool = False) -> DataFra
     )
 
 
+def superlative_answers(questions: DataFrame, text: str, profiles: DataFrame) -> DataFrame:
+    """``questions`` with metric, lowest, Segment, Segment_Name and value of the segment that each asks for.
+
+    A question asks for a segment, holds a metric's word (the first of the list that occurs, inside longer words too) and a word for
+    high or low; low wins over high. For others all five are null. Ties go to the lower segment, and metrics without values have
+    no answer. ``profiles`` is one row per segment.
+    """
+    said = F.lower(F.col(text))
+    metric = F.coalesce(*[F.when(said.contains(w), F.lit(m)) for w, m in fv.METRIC_WORDS.items()])
+    low = said.rlike("|".join(fv.LOWEST_WORDS))
+    asks = said.rlike(fv.ASKS_FOR_SEGMENT) & metric.isNotNull() & (low | said.rlike("|".join(fv.HIGHEST_WORDS)))
+    asked = questions.withColumns({"metric": F.when(asks, metric), "lowest": F.when(asks, low)})
+    metrics = sorted(set(fv.METRIC_WORDS.values()))
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").cast("double").alias("value")) for m in metrics]))
+    long = profiles.select("Segment", "Segment_Name", cells.alias("c")).where("c.value is not null")
+    place = F.struct("Segment", "Segment_Name", F.col("c.value").alias("value"))
+    ends = long.groupBy(F.col("c.metric").alias("metric")).agg(
+        F.min_by(place, F.struct("c.value", "Segment")).alias("low"), F.max_by(place, F.struct("c.value", -F.col("Segment"))).alias("high")
+    )
+    answer = F.when(F.col("lowest"), F.col("low")).otherwise(F.col("high"))
+    return asked.join(ends, "metric", "left").withColumn("_answer", answer).select(
+        *questions.columns, "metric", "lowest", *[F.col("_answer").getField(c).alias(c) for c in ("Segment", "Segment_Name", "value")]
+    )
+
+
 def compare_segments(profiles: DataFrame, segments: list[int]) -> DataFrame:
     """(metric, one column per segment) for up to four segments."""
     if not 1 <= len(segments) <= 4:
