@@ -35,6 +35,17 @@ def impute_group_median(df: DataFrame, col: str, group: str) -> DataFrame:
     )
 
 
+def attach_group_mean(df: DataFrame, col: str, group: str, out: str) -> DataFrame:
+    """``df`` with the mean of ``col`` over the row's group as ``out``; rows without a group are a group of their own.
+
+    Sums combine before they are shuffled, and the group table has one row per group: AQE broadcasts it when small.
+    """
+    if out in df.columns:
+        raise ValueError(f"Column '{out}' is there already.")
+    means = df.groupBy(F.col(f"`{group}`").alias("_g")).agg(F.avg(f"`{col}`").alias(out))
+    return df.join(means, F.col(f"`{group}`").eqNullSafe(F.col("_g")), "left").select(*[df[f"`{c}`"] for c in df.columns], out)
+
+
 def value_counts(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
     """(by…, column, value, n) for the non-missing values of several columns in one scan."""
     by = by or []

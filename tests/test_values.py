@@ -271,3 +271,15 @@ def test_dates_are_decided_by_all_rows(spark):
     rows = [(i, "unknown" if i < 200 else f"20{10 + i % 10}-0{1 + i % 9}-1{i % 10}") for i in range(3000)]
     df = spark.createDataFrame(rows, "_row_order long, moment string").withColumnRenamed("_row_order", fv.ROW_ORDER)
     assert [c.kind for c in plan_columns(df)] == ["date"]
+
+
+def test_mean_of_a_group(spark):
+    from kohort.operators.impute import attach_group_mean
+
+    rows = [(1, "a", 2.0), (2, "a", 4.0), (3, None, 5.0), (4, None, None), (5, "b", None), (5, "b", None)]
+    df = spark.createDataFrame(rows, "id int, `g.x` string, v double")
+    got = sorted((r.id, r.m) for r in attach_group_mean(df, "v", "g.x", "m").collect())
+    assert got == [(1, 3.0), (2, 3.0), (3, 5.0), (4, 5.0), (5, None), (5, None)]
+    assert attach_group_mean(df.limit(0), "v", "g.x", "m").count() == 0
+    with pytest.raises(ValueError):
+        attach_group_mean(df, "v", "g.x", "id")
