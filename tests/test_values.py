@@ -283,3 +283,26 @@ def test_mean_of_a_group(spark):
     assert attach_group_mean(df.limit(0), "v", "g.x", "m").count() == 0
     with pytest.raises(ValueError):
         attach_group_mean(df, "v", "g.x", "id")
+
+
+def test_silhouette_moves_each_row_once(spark, monkeypatch):
+    """What is shuffled grows with the rows: blocks pass by without a group of rows, or of sums, for each pair of blocks."""
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    lab = {"a": (x[:, 0] > 0).astype(int), "b": np.arange(300) % 9}
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("xyz")).assign(id=range(300), **lab))
+    monkeypatch.setattr(metrics, "BLOCK", 40)
+    monkeypatch.setattr(metrics, "PART", 16)
+    out = metrics.silhouette_values(df, list("xyz"), "b", "id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "InPandas" not in plan
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    means = np.stack([dist[:, lab["b"] == c].sum(axis=1) for c in range(9)], axis=1)
+    size = np.bincount(lab["b"])
+    row = np.arange(300)
+    own = means[row, lab["b"]] / (size[lab["b"]] - 1)
+    means = means / size
+    means[row, lab["b"]] = np.inf
+    want = (means.min(axis=1) - own) / np.maximum(means.min(axis=1), own)
+    got = {r.id: r.silhouette for r in out.collect()}
+    assert np.allclose([got[i] for i in range(300)], want, atol=1e-9)
