@@ -106,3 +106,18 @@ def test_passages_of_over_fifty_short_words(spark):
             assert passages[i // 2][3:-3] not in r.text and 90 <= len(r.text.split()) <= 102
         else:
             assert r.text == texts[i]
+
+
+def test_short_texts_that_repeat_themselves(spark):
+    """Several anchors of a text may have the whole text around them; that alone repeats no string of the length."""
+    rng = random.Random(11)
+    texts = []
+    for n in range(102, 118, 2):
+        unit = "".join(rng.choice("abcdefgh ") for _ in range(20))
+        texts += [(unit * 8)[:n], "#".join(((unit * 8)[:n], words(rng, 8)))]
+        texts.append((words(rng, 12)[:20] * 12)[: 2 * n])
+    alone = "".join(rng.choice("abcdefgh ") for _ in range(20))
+    texts += [(alone * 8)[:n] for n in (104, 111)] + [("".join(rng.choice("abcdefgh ") for _ in range(20)) * 8)[:115] for _ in range(6)]
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(texts)], SCHEMA).repartition(2)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(docs, 100).collect()}
+    assert got == dict(enumerate(brute(texts, 100)))
