@@ -6,7 +6,7 @@ n-grams, Spark adds them up. The highest order uses counts, lower ones the numbe
 counts); below all orders every code point is as likely as any other. Each order's counts are joined with the totals of their
 contexts, which gives discounted shares and the weight left to the order below. Both stay tables, sharded by context; they grow with
 the trusted texts and are never gathered. To score, documents are packed (compressed, about 1 MB of text a pack) and dealt to blocks
-of about 32 MB; a task finds the distinct n-grams of its block, these meet the model's shares and weights in joins on the context,
+of about 16 MB; a task finds the distinct n-grams of its block, these meet the model's shares and weights in joins on the context,
 and their costs go back to the block, where each document adds up its own. So texts are shuffled once, and of n-grams only the
 distinct ones of a block.
 
@@ -31,16 +31,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from kohort.llm.arrow_text import release, slices, unused
+from kohort.llm.arrow_text import release, slices, small_batches, unused
 from kohort.llm.sieve import sifted
-from kohort.session import stage_table
+from kohort.session import shuffles_dropped, stage_table
 
 ORDER = 4
 BITS = 21  # of a code point
 SYMBOLS = 1 << BITS
 BINS = 1000
 #: Bytes of text in a pack, and in a block, whose distinct n-grams are looked up together.
-PACK, BLOCK = 1 << 20, 1 << 25
+PACK, BLOCK = 1 << 20, 1 << 24
+#: Of the compression of packs, which are all that is shuffled of the texts: 17% smaller than at level 1.
+LEVEL = 6
+#: N-grams found in the slices of a block that are held before their repeats are dropped.
+HELD = 1 << 19
 NEW = ("n_symbols", "perplexity", "threshold", "keep")
 WHOLE = 2  # the model of both halves; 0 and 1 are those of one
 _SPACE, _ZERO = 32, 48
@@ -128,7 +132,7 @@ def distinct_ngrams(context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray
 def _count(batches):
     for batch in batches:
         half = batch.column(1).to_numpy()
-        for a, b, raw, off in slices(batch.column(0), PACK):
+        for a, b, raw, off in slices(batch.column(0)):
             context, symbol, bounds = ngrams(raw, off)
             which = np.repeat(half[a:b], np.diff(bounds))
             for h in (0, 1):
@@ -136,6 +140,19 @@ def _count(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), h), pa.int32()), pa.array(c), pa.array(s, pa.int32()), pa.array(n)], names=["half", "context", "symbol", "c"])
 
 
+def union_ngrams(parts) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams of all ``parts`` (contexts, symbols); never many more are held than there are different ones."""
+    held, size, least = [], 0, HELD
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= least:
+            held = [distinct_ngrams(*[np.concatenate(x) for x in zip(*held)])[:2]]
+            size = len(held[0][0])
+            least = max(HELD, 2 * size)
+    return distinct_ngrams(*[np.concatenate(x) for x in zip(*held)])[:2]
+
+
 def half_of(text: Column) -> Column:
     """0 or 1 by a hash of the text."""
     return F.pmod(F.xxhash64(text), F.lit(2)).cast("int")
@@ -170,7 +187,8 @@ def fit(counts: DataFrame) -> Model | None:
     shares = rows.join(totals.select(*keys, "total"), keys).select(*keys, "symbol", ((F.col("c") - F.col("cut")) / F.col("total")).alias("share"))
     shares = stage_table(shares, "ngram-shares")
     own = ngram_costs(tables[ORDER], Model(shares, lefts, {}), "c")
-    means = own.groupBy("model").agg((F.sum(F.col("cost") * F.col("c")) / F.sum("c")).alias("mean")).collect()
+    with shuffles_dropped(spark):
+        means = own.groupBy("model").agg((F.sum(F.col("cost") * F.col("c")) / F.sum("c")).alias("mean")).collect()
     return Model(shares, lefts, {r.model: r.mean for r in means})
 
 
@@ -215,7 +233,7 @@ def perplexities(docs: DataFrame, model: Model, prior: int, text: str = "text",
     at, means = source.columns.index(body), model.means
 
     def pack(batches):
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))
         for batch in batches:
             number = batch.column(batch.num_columns - 1).to_numpy()
             for m in np.unique(number):
@@ -231,12 +249,8 @@ def perplexities(docs: DataFrame, model: Model, prior: int, text: str = "text",
             yield pa.ipc.open_stream(payload.as_buffer()).read_all().combine_chunks()
 
     def find(table):
-        found = []
-        for rows in opened(table.column("pack")):
-            for _, _, raw, off in slices(rows.column(at), PACK):
-                context, symbol, _ = ngrams(raw, off)
-                found.append(distinct_ngrams(context, symbol)[:2])
-        context, symbol, _ = distinct_ngrams(*[np.concatenate(x) for x in zip(*found)])
+        parts = (ngrams(raw, off)[:2] for rows in opened(table.column("pack")) for _, _, raw, off in slices(rows.column(at)))
+        context, symbol = union_ngrams(distinct_ngrams(*part)[:2] for part in parts)
         release()
         ids = [pa.array(np.full(len(symbol), table.column(c)[0].as_py()), pa.int32()) for c in ("model", "block")]
         return pa.table([*ids, pa.array(context), pa.array(symbol, pa.int32())], names=["model", "block", "context", "symbol"])
@@ -250,7 +264,7 @@ def perplexities(docs: DataFrame, model: Model, prior: int, text: str = "text",
         done = []
         for rows in opened(table.column("pack")):
             mean = means[rows.column(rows.num_columns - 1)[0].as_py()]
-            for a, b, raw, off in slices(rows.column(at), PACK):
+            for a, b, raw, off in slices(rows.column(at)):
                 c, s, bounds = ngrams(raw, off)
                 n, total = np.diff(bounds), np.zeros(b - a)
                 full = n > 0
@@ -284,12 +298,13 @@ def trusted_ids(labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, least: int = 30, prior: int = 512, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` with n_symbols, perplexity, threshold and keep."""
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in NEW]
     trusted = trusted_ids(labels)
     # a fixed-size filter first, so that little more than the trusted texts is shuffled
     theirs = docs.select(F.col(f"`{id_column}`").alias("_trusted"), F.col(f"`{lang}`").cast("string").alias("_lang"), F.col(f"`{text}`").cast("string").alias("_text"))
     theirs = sifted(theirs, trusted, ["_trusted"]).join(trusted.hint("merge"), "_trusted", "left_semi").select("_lang", "_text")
-    theirs = stage_table(theirs, "trusted")
+    theirs = stage_table(theirs, "trusted", compression="zstd")
     model = costs(theirs.select("_text"))
     if model is None:
         return docs.select(*[F.col(f"`{c}`") for c in keep]).withColumns({"n_symbols": F.lit(None).cast("long"), "perplexity": F.lit(None).cast("double"), "threshold": F.lit(None).cast("double"), "keep": F.lit(True)})

@@ -95,6 +95,20 @@ def test_ngrams_of_any_script_have_numbers_of_their_own():
     assert ngrams(raw, np.array([0, 3, 5]))[1].tolist() == [97, (4 << 6) | 0x38, 98]
 
 
+def test_union_holds_little_more_than_the_different_ngrams(monkeypatch):
+    from kohort.llm import kneser_ney
+
+    monkeypatch.setattr(kneser_ney, "HELD", 1_000)
+    sizes, merge = [], kneser_ney.distinct_ngrams
+    monkeypatch.setattr(kneser_ney, "distinct_ngrams", lambda c, s: (sizes.append(len(c)), merge(c, s))[1])
+    rng = np.random.default_rng(1)
+    parts = [(rng.integers(32, 52, 300).astype(np.int64), rng.integers(32, 52, 300).astype(np.int64)) for _ in range(200)]
+    got = kneser_ney.union_ngrams(iter(parts))
+    want = {(c, s) for part in parts for c, s in zip(*(x.tolist() for x in part))}
+    assert len(got[0]) == len(want) and set(zip(*(x.tolist() for x in got))) == want
+    assert max(sizes) <= 2 * len(want) + 1_000 + 300  # 60,000 at once before
+
+
 def test_junk_in_a_script_without_latin_letters_is_rejected(spark):
     """Folded to classes of bytes, all Cyrillic letters were one symbol, and junk of them looked like prose."""
     rng = random.Random(8)
