@@ -255,11 +255,19 @@ class _Block:
 
 def _add_cells(runs, away: np.ndarray, to: np.ndarray) -> None:
     """Adds the rows of ``away`` to the rows of ``to``, by cells."""
-    if isinstance(runs, np.ndarray):
-        to += runs @ away
-        return
-    for c, those, ones in runs:
-        to[c] += ones @ away[those]
+    if not isinstance(runs, np.ndarray):
+        for c, those, ones in runs:
+            to[c] += ones @ away[those]
+    else:
+        _fold(runs, away, to)
+
+
+def _fold(held: np.ndarray, sums: np.ndarray, to: np.ndarray) -> None:
+    """Adds each row of ``sums`` to the rows of ``to`` that hold it; what is no number reaches no others."""
+    sound = ~np.isnan(sums).any(axis=1)
+    to += held[:, sound] @ sums[sound]
+    for c in np.nonzero(~sound)[0]:
+        to[held[:, c] > 0] += sums[c]
 
 
 def _meet(here: _Block, there: _Block, to_here: np.ndarray, to_there: np.ndarray) -> None:
@@ -282,8 +290,12 @@ def _meet(here: _Block, there: _Block, to_here: np.ndarray, to_there: np.ndarray
                     _add_cells(runs, away.T, forth[cells.start - start : cells.stop - start, those])
                 if offered[i, j] and not (alone and i == j):
                     _add_cells(mine, away, back[own])
-            to_there[here.clusters, these] += here.held @ back
-        to_here[there.clusters] += there.held[:, start:stop] @ forth
+            added = np.zeros((len(here.clusters), back.shape[1]))
+            _fold(here.held, back, added)
+            to_there[here.clusters, these] += added
+        added = np.zeros((len(there.clusters), here.rows))
+        _fold(there.held[:, start:stop], forth, added)
+        to_here[there.clusters] += added
 
 
 def _tiled(df: DataFrame, cols: list[str], labelings: dict[str, str], key: str) -> DataFrame:

@@ -64,3 +64,10 @@ def test_the_comparison_shares_its_distances_with_the_final_clusters(spark, monk
     rules = {**fv.RULES, "k_scan_sample": 100}
     _, silhouette = selection.compare_with(df, ["x", "y"], 3, "id", n_init=2, rules=rules, final=final)
     assert silhouette == pytest.approx(want, abs=1e-12) and len(passes) == 3
+
+
+def test_a_sum_that_is_no_number_stays_with_its_cell():
+    held = np.array([[1.0, 0, 1], [0, 1, 0]])
+    sums, to = np.array([[1.0, 2], [np.nan, 4], [3, 5]]), np.zeros((2, 2))
+    metrics._fold(held, sums, to)
+    assert np.array_equal(to, [[4, 7], [np.nan, 4]], equal_nan=True)
